@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import token_counts
+from . import sentencepiece_fst, token_counts
 
-_MODULES = (token_counts,)
+_MODULES = (sentencepiece_fst, token_counts)
 
 
 def queries():
