@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import sentencepiece_fst, token_counts
+from . import quality_rules, sentencepiece_fst, token_counts
 
-_MODULES = (sentencepiece_fst, token_counts)
+_MODULES = (quality_rules, sentencepiece_fst, token_counts)
 
 
 def queries():
