@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sentencepiece_fst, token_counts
+from . import compression_quality, quality_rules, sentencepiece_fst, token_counts, toxicity
 
-_MODULES = (quality_rules, sentencepiece_fst, token_counts)
+_MODULES = (quality_rules, sentencepiece_fst, token_counts, toxicity, compression_quality)
 
 
 def queries():
