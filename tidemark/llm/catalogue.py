@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import compression_quality, quality_rules, sentencepiece_fst, token_counts, toxicity
+from . import chat_format, compression_quality, quality_rules, sentencepiece_fst, token_counts, toxicity, url_filter
 
-_MODULES = (quality_rules, sentencepiece_fst, token_counts, toxicity, compression_quality)
+_MODULES = (chat_format, url_filter, quality_rules, sentencepiece_fst, token_counts, toxicity, compression_quality)
 
 
 def queries():
@@ -12,4 +12,5 @@ def queries():
 
 
 def oracle_sql():
-    return {name: sql for module in _MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
+    found = {name: sql for module in _MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
+    return {name: sql if isinstance(sql, str) else sql() for name, sql in found.items()}
