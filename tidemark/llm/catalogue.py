@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, compression_quality, quality_rules, sentencepiece_fst, token_counts, toxicity, url_filter
+from . import chat_format, compression_quality, decontamination, quality_rules, sentencepiece_fst, token_counts, toxicity, url_filter
 
-_MODULES = (chat_format, url_filter, quality_rules, sentencepiece_fst, token_counts, toxicity, compression_quality)
+_MODULES = (chat_format, url_filter, decontamination, quality_rules, sentencepiece_fst, token_counts, toxicity, compression_quality)
 
 
 def queries():

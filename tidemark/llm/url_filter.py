@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKETS = 2048
+BUCKETS = 8192
 SIZES = (3, 4, 5)
 MAX_LABELLED = 5000
 SCALE = 1_000_000
