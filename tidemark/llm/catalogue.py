@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, compression_quality, decontamination, line_dedup, quality_rules, sentencepiece_fst, token_counts, toxicity, url_filter
+from . import chat_format, compression_quality, decontamination, line_dedup, near_dedup, quality_rules, sentencepiece_fst, token_counts, toxicity, url_filter
 
-_MODULES = (chat_format, url_filter, decontamination, line_dedup, quality_rules, sentencepiece_fst, token_counts, toxicity, compression_quality)
+_MODULES = (chat_format, url_filter, decontamination, line_dedup, near_dedup, quality_rules, sentencepiece_fst, token_counts, toxicity, compression_quality)
 
 
 def queries():
