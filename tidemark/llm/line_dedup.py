@@ -152,6 +152,19 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     return rows.select(*(text.alias("text") if c == "text" else F.col(c) for c in out), lines.alias("n_lines"), removed.alias("removed"))
 
 
+def kept_documents(documents: DataFrame) -> DataFrame:
+    """deduplicate() with the columns of documents only; n_chars, if there, follows the text.
+
+    Rows that have lost lines and hold no word any more go; all others stay.
+    """
+    columns = documents.columns
+    clash = {c: f"_own_{c}" for c in columns if c in ("n_lines", "removed")}
+    rows = deduplicate(documents.withColumnsRenamed(clash))
+    rows = rows.where((F.size("removed") == 0) | F.coalesce(F.col("text").rlike(common.WORD), F.lit(False)))
+    length = F.when(F.size("removed") > 0, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")) if "n_chars" in columns else None
+    return rows.select(*(length.alias(c) if c == "n_chars" else F.col(clash.get(c, c)).alias(c) for c in columns))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = deduplicate(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", F.sha2("text", 256).alias("text_sha256"))

@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType
 
 from . import common
@@ -235,6 +236,15 @@ def judged(documents: DataFrame) -> DataFrame:
     return judge(documents, public.path("piece_bpe_32k.model"), public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN)
 
 
+def kept_documents(documents: DataFrame) -> DataFrame:
+    """The rows that judged() keeps, with their own columns only."""
+    columns = documents.columns
+    names = {n for n, _ in _ADDED}
+    clash = {c: f"_own_{c}" for c in columns if c in names}
+    rows = judged(documents.withColumnsRenamed(clash)).where("kept")
+    return rows.select(*(F.col(clash.get(c, c)).alias(c) for c in columns))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return judged(documents).drop("text", "lang")
