@@ -83,12 +83,12 @@ def accuracy(rows: DataFrame, *, actual: str = "actual_value", forecast: str = "
 def top_k_with_hold(scores: DataFrame, *, k: int, drop: int, hold: int) -> DataFrame:
     """Daily top-k portfolio that replaces at most `drop` names a day and keeps each for at least `hold` days.
 
-    The state runs over days, so one group holds the ranked names; only the first
-    2 * (k + drop) of a day can matter for entry, and names held are looked up in the same day.
+    Scores: portfolio, ts, instrument_id, score. The state runs over the days of a portfolio, so its
+    names are one group; portfolios run side by side.
     """
     import pandas as pd
 
-    def one(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         held: dict[str, int] = {}
         out = []
         for day, rows in frame.sort_values(["ts", "score", "instrument_id"], ascending=[True, False, True]).groupby("ts", sort=True):
@@ -105,7 +105,8 @@ def top_k_with_hold(scores: DataFrame, *, k: int, drop: int, hold: int) -> DataF
                 held.setdefault(x, 0)
             held = {x: age + 1 for x, age in held.items()}
             out += [(day, x, 1.0 / len(held)) for x in sorted(held)]
-        return pd.DataFrame(out, columns=["ts", "instrument_id", "weight"])
+        return pd.DataFrame([(key[0], *row) for row in out], columns=["portfolio", "ts", "instrument_id", "weight"])
 
     kind = scores.schema["ts"].dataType.simpleString()
-    return scores.select("ts", "instrument_id", "score").groupBy(F.lit(0)).applyInPandas(one, f"ts {kind}, instrument_id string, weight double")
+    rows = scores.select("portfolio", "ts", "instrument_id", "score")
+    return rows.groupBy("portfolio").applyInPandas(one, f"portfolio string, ts {kind}, instrument_id string, weight double")

@@ -84,7 +84,7 @@ Path = Callable[[np.ndarray, int], np.ndarray]
 
 
 def _grouped(bars: DataFrame, horizon: int, path: Path, least: int) -> DataFrame:
-    def one(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         closes = frame.sort_values("ts")["close"].to_numpy(float)
         if len(closes) < least:
             return pd.DataFrame({"instrument_id": [], "step": [], "forecast": []})

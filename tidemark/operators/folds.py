@@ -45,7 +45,7 @@ def bootstrap(scores: DataFrame, reference: str, *, resamples: int = 2000, seed:
     if not 1 <= resamples <= 1_000_000:
         raise ValueError("between 1 and 1,000,000 resamples")
 
-    def one(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         metric, model = key
         values = frame.sort_values("fold_id")["improvement"].to_numpy(float)
         own = int.from_bytes(hashlib.sha256(f"{seed}|{metric}|{model}".encode()).digest()[:8], "big")

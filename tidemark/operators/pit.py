@@ -77,8 +77,8 @@ def later_than(history: DataFrame, forecast: DataFrame, ts: str = "ts") -> DataF
     """Forecast rows after the last known one; all of them if there are none."""
     last = history.groupBy("instrument_id").agg(F.max(ts).alias("_last"))
     rows = forecast.join(last, "instrument_id", "left").withColumn("_later", F.coalesce(F.col(ts) > F.col("_last"), F.lit(True)))
-    some = F.max("_later").over(Window.partitionBy("instrument_id"))
-    return rows.where(F.col("_later") | ~some).drop("_later", "_last")
+    rows = rows.withColumn("_some", F.max("_later").over(Window.partitionBy("instrument_id")))
+    return rows.where(F.col("_later") | ~F.col("_some")).drop("_later", "_last", "_some")
 
 
 def finding(frame: DataFrame, code: str, rule: Column, row: str) -> DataFrame:
@@ -87,7 +87,8 @@ def finding(frame: DataFrame, code: str, rule: Column, row: str) -> DataFrame:
 
 def _findings(frame: DataFrame, rules: dict[str, Column], row: str) -> DataFrame:
     flags = F.array(*(F.when(F.coalesce(rule, F.lit(False)), F.lit(code)) for code, rule in rules.items()))
-    return frame.select(F.explode(F.array_compact(flags)).alias("code"), F.lit("error").alias("severity"), F.col(row).cast("string").alias("row_id"))
+    rows = frame.withColumn("_flags", flags)
+    return rows.select(F.explode(F.array_compact("_flags")).alias("code"), F.lit("error").alias("severity"), F.col(row).cast("string").alias("row_id"))
 
 
 def audit_splits(splits: DataFrame, *, embargo_days: int = 0) -> DataFrame:

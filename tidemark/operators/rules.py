@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -100,6 +100,14 @@ def group_rules(config: Config) -> dict[str, Column]:
     return rules
 
 
+def _is_session(calendar: Calendar) -> Callable[[Column], Column]:
+    def test(day: Column) -> Column:
+        on = F.weekday(day).isin(*calendar.weekdays)
+        return on & ~day.cast("string").isin(*calendar.holidays) if calendar.holidays else on
+
+    return test
+
+
 def calendar_rules(calendars: Mapping[str, Calendar], config: Config) -> dict[str, Column]:
     """Unknown exchanges, bars outside sessions, and gaps against the bar before."""
     exchange = F.col("exchange")
@@ -111,13 +119,11 @@ def calendar_rules(calendars: Mapping[str, Calendar], config: Config) -> dict[st
     for name, c in calendars.items():
         local, local_before = (F.from_utc_timestamp(t, c.zone) for t in (F.col("timestamp_utc"), before))
         day, day_before = F.to_date(local), F.to_date(local_before)
-        holiday = day.cast("string").isin(*c.holidays) if c.holidays else F.lit(False)
         clock = F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)
-        session = F.weekday(local).isin(*c.weekdays) & ~holiday
+        session = _is_session(c)(day)
         inside = F.when(seconds >= 86400, session).otherwise(session & clock.between(c.opens, c.closes))
         outside = F.when(exchange == name, ~inside).otherwise(outside)
-        between = F.filter(F.sequence(F.date_add(day_before, 1), F.date_sub(day, 1)), lambda d, c=c: F.weekday(d).isin(*c.weekdays) & ~(d.cast("string").isin(*c.holidays) if c.holidays else F.lit(False)))
-        missing = F.when(F.datediff(day, day_before) > 1, F.size(between)).otherwise(0).cast("double")
+        missing = F.when(F.datediff(day, day_before) > 1, F.size(F.filter(F.sequence(F.date_add(day_before, 1), F.date_sub(day, 1)), _is_session(c)))).otherwise(0).cast("double")
         daily_gap = F.when((exchange == name) & (seconds >= 86400), missing).otherwise(daily_gap)
         ratio = (F.unix_micros(F.col("timestamp_utc").cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) / 1e6 / seconds
         same_day = (exchange == name) & (seconds < 86400) & (day == day_before)
@@ -153,7 +159,7 @@ def violations(bars: DataFrame, config: Config = Config(), calendars: Mapping[st
     marked = bars.select(*BAR_SCHEMA.fieldNames()).withColumn("_backwards", F.col("timestamp_utc") < F.lag("timestamp_utc").over(order))
     rules = row_rules() | group_rules(config) | calendar_rules(calendars, config) | staleness_rules(config)
     flags = F.array(*(F.when(F.coalesce(rule, F.lit(False)), F.lit(code)) for code, rule in rules.items()))
-    rows = marked.select("row_no", "instrument_id", F.explode(F.array_compact(flags)).alias("code"))
+    rows = marked.withColumn("_flags", flags).select("row_no", "instrument_id", F.explode(F.array_compact("_flags")).alias("code"))
     severity = F.when(F.col("code").isin(*WARNINGS), WARNING).otherwise(ERROR)
     return rows.select("code", severity.alias("severity"), "row_no", "instrument_id")
 

@@ -1,30 +1,15 @@
-"""Registry of the bar-series queries and of their DuckDB counterparts."""
+"""All bar-series queries; importing the modules registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query and, where SQL expresses it, its oracle."""
-
-    def register(fn):
-        _QUERIES[name] = fn
-        if sql is not None:
-            _ORACLES[name] = sql
-        return fn
-
-    return register
-
-
-def queries():
-    return dict(_QUERIES)
+from ..operators import metrics
+from . import queries_audit, queries_bars, queries_scores, queries_streams  # noqa: F401
+from .adapters import daily, observations, rounded
+from .registry import oracle_sql, queries  # noqa: F401
 
 
-def oracle_sql():
-    return dict(_ORACLES)
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a rolling-mean forecast over daily bars, in total and by group."""
+    return rounded(metrics.scorecard(observations(daily(spark, sf_dir))))

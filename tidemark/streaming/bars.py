@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def tumbling_bars(ticks: DataFrame, *, instrument: str = "event_type", price: str = "value", ts: str = "ts", width: str = "1 day", delay: str = "2 days", slide: str | None = None) -> DataFrame:
@@ -36,7 +37,7 @@ def deduplicated(ticks: DataFrame, *, keys: tuple[str, ...] = ("event_id",), ts:
 
 def admissible(ticks: DataFrame, *, as_of: str, stale_after: str, ts: str = "ts", ingested: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows that are neither stale nor ingested before their event or after as_of; and all others."""
-    limit = F.expr(f"CAST('{as_of}' AS TIMESTAMP_NTZ)")
+    limit = F.expr(f"CAST('{as_of}' AS TIMESTAMP)")
     good = F.col(ts) >= limit - F.expr(f"INTERVAL {stale_after}")
     if ingested:
         good &= (F.col(ingested) >= F.col(ts)) & (F.col(ingested) <= limit)
@@ -70,11 +71,26 @@ def deltas(ticks: DataFrame, *, by: str = "event_type", value: str = "value", or
     )
 
 
-def run_available(spark: SparkSession, frame: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there into Parquet (append) or a table in memory, and give the result."""
-    writer = frame.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{checkpoint}/{name}-checkpoint").outputMode(mode)
-    if mode == "append":
-        writer.format("parquet").option("path", f"{checkpoint}/{name}").start().awaitTermination()
-        return spark.read.schema(frame.schema).parquet(f"{checkpoint}/{name}")
-    writer.format("memory").queryName(name).start().awaitTermination()
-    return spark.table(name)
+def run_available(spark: SparkSession, frame: DataFrame, name: str, folder: str) -> DataFrame:
+    """Run an appending stream over all that is there into Parquet, and give the result."""
+    writer = frame.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/{name}-checkpoint")
+    writer.outputMode("append").format("parquet").option("path", f"{folder}/{name}").start().awaitTermination()
+    return spark.read.schema(frame.schema).parquet(f"{folder}/{name}")
+
+
+def latest(spark: SparkSession, frame: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Run an updating stream over all that is there, and give the last state of each key.
+
+    Each micro-batch is a folder of its own, written again if it is tried again.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    writer = frame.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
+    writer.outputMode("update").foreachBatch(keep).start().awaitTermination()
+    columns = frame.columns
+    rows = spark.read.schema(StructType([*frame.schema.fields, StructField("_batch", LongType())])).parquet(f"{folder}/rows/batch=*")
+    values = [c for c in columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("v"))
+    return last.select(*keys, "v.*").select(*columns)
