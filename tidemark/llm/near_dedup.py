@@ -37,6 +37,7 @@ SHINGLE, PERCENT = 5, 85
 TREES, DEPTH = 10, 3
 BRANCHES, FAMILIES = 4, 3
 SMALL, BLOCK = 48, 128
+SALTS = 16
 SKETCH_BITS = 40
 _FUNCTIONS = TREES * DEPTH + FAMILIES * BRANCHES * DEPTH
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -147,6 +148,12 @@ def _alike(x: str, y: str) -> Column:
     return sizes & (differ <= SKETCH_BITS)
 
 
+def _with_node(rows: DataFrame, by_node: DataFrame, rep: str) -> DataFrame:
+    """Join a row for each node to its members, which are dealt out over SALTS parts, as one node may hold most."""
+    parts = by_node.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(rep), F.lit(SALTS)).cast("int")).join(parts, ["node", "_salt"]).drop("_salt")
+
+
 class _Join:
     """The steps of one run; tables between them are written to the shared folder."""
 
@@ -182,7 +189,7 @@ class _Join:
         for level in range(DEPTH):
             rows = rows.select(F.xxhash64("node", F.col("path")[level]).alias("node"), "rep", "tree", "path")
             sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-            rows = self.scratch.write(rows.join(sizes, "node"), f"{label}-{level}")
+            rows = self.scratch.write(_with_node(rows, sizes, "rep"), f"{label}-{level}")
             small.append(rows.where(F.col("size") <= SMALL).select("node", "rep"))
             rows = rows.where(F.col("size") > SMALL).drop("size")
         return small, rows
@@ -230,7 +237,7 @@ class _Join:
         leaves = self.scratch.write(leaves.select("node", "large", F.struct("rep", "n", "sketch").alias("m")), "leaves")
 
         pivots = leaves.groupBy("node").agg(F.min("m").alias("p"))
-        stars = leaves.join(pivots, "node").where((F.col("m.rep") != F.col("p.rep")) & _alike("m", "p"))
+        stars = _with_node(leaves, pivots, "m.rep").where((F.col("m.rep") != F.col("p.rep")) & _alike("m", "p"))
         stars = self.scratch.write(stars.select(F.col("p.rep").alias("a"), F.col("m.rep").alias("b")).distinct(), "stars")
         groups = leaves.where("NOT large").groupBy("node").agg(F.sort_array(F.collect_list("m")).alias("all")).where(F.size("all") > 2)
         pairs = groups.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("y"))
@@ -257,7 +264,7 @@ class _Join:
     def _blocks(self, crowded: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
         """Links between all pairs of large leaves, in blocks; of each two blocks a spanning forest."""
         sizes = crowded.groupBy("node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        rows = crowded.join(sizes, "node").join(found.withColumnRenamed("id", "rep"), F.col("m.rep") == F.col("rep"), "left")
+        rows = _with_node(crowded, sizes, "m.rep").join(found.withColumnRenamed("id", "rep"), F.col("m.rep") == F.col("rep"), "left")
         rows = rows.withColumn("root", F.coalesce("root", "m.rep")).withColumn("own", F.pmod(F.xxhash64("m.rep"), F.col("blocks")).cast("int"))
         rows = rows.select("node", F.col("m.rep").alias("rep"), "m.sketch", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         rows = rows.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).drop("other")
