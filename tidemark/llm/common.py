@@ -37,6 +37,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def broadcast_if_small(frame: DataFrame, limit: int) -> DataFrame:
+    """Hint a broadcast if a written table has at most `limit` rows; else it is joined by a shuffle."""
+    return F.broadcast(frame) if frame.count() <= limit else frame
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors.
 

@@ -7,8 +7,8 @@ line itself stays does not matter, so the result does not depend on the order of
 1. Equal lines meet by a 128-bit hash; each distinct line keeps its first place.
 2. Distinct lines one edit apart share their first or last half: for lengths m <= n of
    the two, common prefix and common suffix have at least m - 1 characters together,
-   so one of them has floor(m / 2). Only lines that share such a half go on. No
-   pair is lost by this.
+   so one of them has floor(m / 2). Only lines that share such a half, cut down to a
+   multiple of four, go on. No pair is lost by this.
 3. These emit their deletion neighbourhood as hashed keys: the line itself, and the line
    without the i-th character, for each i in the half that may differ.
 4. Equal keys join. Two lines that become equal without their i-th character differ by a
@@ -30,6 +30,9 @@ from . import common
 from .common import Scratch
 
 MIN_CHARS = 20
+STEP = 4
+#: Candidate lines up to this number are broadcast (48 bytes each); more are joined by a shuffle.
+BROADCAST_LINES = 200_000
 _PLACE = ["doc_id", "line_no", "digest"]
 
 
@@ -38,14 +41,19 @@ def _hashes(line: Column) -> list[Column]:
 
 
 def _halves(line: Column, size: Column) -> Column:
-    """Hashes of the first and last halves by which a line of this size can meet others."""
+    """Hashes of the first and last parts by which a line of this size can meet others.
+
+    Parts have half the size, down to a multiple of STEP, so that lines one character
+    apart mostly have one size of part; where a size is the first of a new multiple, the
+    parts of the size before it are added.
+    """
 
     def sides(half: Column) -> list[Column]:
         first, last = F.substring(line, F.lit(1), half), F.substring(line, size - half + 1, half)
         return [F.xxhash64(F.lit("first"), half, first), F.xxhash64(F.lit("last"), half, last)]
 
-    short, own = F.floor((size - 1) / 2).cast("int"), F.floor(size / 2).cast("int")
-    return F.array_distinct(F.array(*sides(own), *sides(short)))
+    own = (F.floor(size / (2 * STEP)) * STEP).cast("int")
+    return F.when(size % (2 * STEP) == 0, F.array(*sides(own), *sides(own - STEP))).otherwise(F.array(*sides(own)))
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -72,9 +80,9 @@ def removed_lines(documents: DataFrame) -> DataFrame:
         F.min(place).alias("first"), F.count("*").alias("n"), F.any_value("halves").alias("halves"), F.any_value("size").alias("size")
     )
     distinct = scratch.write(distinct, "distinct")
-    keyed = distinct.select("h1", "h2", "first", "size", F.posexplode("halves").alias("side", "half"))
+    keyed = distinct.select("h1", "h2", F.posexplode("halves").alias("side", "half"))
     shared = keyed.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    candidates = keyed.join(shared, "half", "left_semi").groupBy("h1", "h2", "first", "size").agg(
+    candidates = keyed.join(shared, "half").groupBy("h1", "h2").agg(
         F.bool_or(F.col("side") % 2 == 0).alias("same_first"), F.bool_or(F.col("side") % 2 == 1).alias("same_last")
     )
     near = _near(documents, scratch.write(candidates, "candidates"), scratch)
@@ -88,39 +96,34 @@ def removed_lines(documents: DataFrame) -> DataFrame:
 
 def _near(documents: DataFrame, candidates: DataFrame, scratch: Scratch) -> DataFrame:
     """h1, h2 and first of the distinct lines that have an earlier line one edit away."""
-    wanted = candidates.select("h1", "h2", "size", "same_first", "same_last", *(F.col("first")[c].alias(c) for c in _PLACE))
-    wanted = wanted.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("line_no", "h1", "h2", "size", "same_first", "same_last")).alias("wanted"))
-    text = F.coalesce("text", F.lit(""))
-    texts = documents.select("doc_id", F.xxhash64(text).alias("digest"), text.alias("text"))
-    where = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["digest"] == wanted["digest"])
-    found = texts.join(wanted, where).select(texts["doc_id"], texts["digest"], F.split("text", "\n", -1).alias("lines"), F.explode("wanted").alias("w"))
-    found = found.select("doc_id", "digest", "w.*", F.col("lines")[F.col("w.line_no")].alias("line"))
-    found = scratch.write(found.dropDuplicates(["h1", "h2"]), "candidate_lines")
+    wanted = common.broadcast_if_small(candidates, BROADCAST_LINES)
+    rows = _lines(documents).select(*_PLACE, "line", "size", *_hashes(F.col("line"))).join(wanted, ["h1", "h2"])
+    found = rows.groupBy("h1", "h2", "size", "same_first", "same_last").agg(F.min(F.struct(*_PLACE)).alias("first"), F.any_value("line").alias("line"))
+    found = scratch.write(found, "candidate_lines")
 
     line, size = F.col("line"), F.col("size")
-    # the edit lies behind a shared first half and before a shared last half
+    # without a shared last part, the first floor(m / 2) characters are equal, and the other way round
     begin = F.when(F.col("same_last"), F.lit(0)).otherwise(F.floor((size - 1) / 2).cast("int"))
     end = F.when(F.col("same_first"), size - 1).otherwise(F.ceil((size + 1) / 2).cast("int"))
     without = F.transform(
         F.sequence(begin, F.least(end, size - 1)),
-        lambda i: F.struct(
-            F.xxhash64(F.concat(F.substring(line, F.lit(1), i), F.substring(line, i + 2, size))).alias("key"), (size - 1).alias("length"), i.alias("at")
-        ),
+        lambda i: F.struct(F.xxhash64(F.concat(F.substring(line, F.lit(1), i), F.substring(line, i + 2, size))).alias("key"), i.alias("at")),
     )
-    whole = F.array(F.struct(F.xxhash64(line).alias("key"), size.alias("length"), F.lit(-1).alias("at")))
-    variants = found.select("h1", "h2", F.struct(*_PLACE).alias("first"), F.explode(F.concat(whole, without)).alias("v"))
-    variants = variants.select(F.col("v.key").alias("key"), F.col("v.length").alias("length"), F.col("v.at").alias("at"), F.struct("first", "h1", "h2").alias("line"))
+    whole = F.array(F.struct(F.xxhash64(line).alias("key"), F.lit(-1).alias("at")))
+    variants = found.select("h1", "h2", F.explode(F.concat(whole, without)).alias("v")).select("v.key", "v.at", "h1", "h2")
+    shared = variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    lines = found.select("h1", "h2", F.struct("first", "h1", "h2").alias("line"))
+    variants = scratch.write(variants.join(shared, "key").join(lines, ["h1", "h2"]).select("key", "at", "line"), "variants")
 
     # of each key: the earliest line for each deleted place, the line that is the key, the earliest of all shorter by one
-    by_place = variants.groupBy("key", "length", "at").agg(F.min("line").alias("earliest"), F.count("*").alias("n"))
-    by_key = by_place.groupBy("key", "length").agg(
+    by_place = variants.groupBy("key", "at").agg(F.min("line").alias("earliest"), F.count("*").alias("n"))
+    by_key = by_place.groupBy("key").agg(
         F.max(F.when(F.col("at") < 0, F.col("earliest"))).alias("itself"),
         F.min(F.when(F.col("at") >= 0, F.col("earliest"))).alias("shortened"),
-        F.sum("n").alias("n"),
-    ).where("n > 1")
-    same_place = variants.join(by_place.where("n > 1 AND at >= 0").drop("n"), ["key", "length", "at"])
+    )
+    same_place = variants.join(by_place.where("n > 1 AND at >= 0").drop("n"), ["key", "at"])
     partners = same_place.select("line", F.col("earliest").alias("partner"))
-    met = variants.join(by_key.where("itself IS NOT NULL AND shortened IS NOT NULL"), ["key", "length"])
+    met = variants.join(by_key.where("itself IS NOT NULL AND shortened IS NOT NULL"), "key")
     partners = partners.unionByName(met.select("line", F.when(F.col("at") < 0, F.col("shortened")).otherwise(F.col("itself")).alias("partner")))
     partners = partners.where(F.col("partner")["first"] < F.col("line")["first"]).distinct()
     texts = found.select("h1", "h2", "line")
