@@ -39,7 +39,7 @@ def scenarios(spark, items: list[Assumptions]) -> DataFrame:
     """Assumption sets as a table, one row each; names must differ."""
     if len({a.name for a in items}) != len(items):
         raise ValueError("scenario names must differ")
-    return spark.createDataFrame([asdict(a) for a in items])
+    return spark.createDataFrame([{k: v if k == "name" else float(v) for k, v in asdict(a).items()} for a in items])
 
 
 def trade_ledger(decisions: DataFrame, assumptions: DataFrame, *, enforce_cap: bool = True) -> DataFrame:

@@ -126,7 +126,7 @@ def jsonp_lines(payloads: DataFrame, text: str = "payload", *, path: str = "$.da
         "*", F.try_to_timestamp(F.get(fields, F.lit(0))).alias("ts"),
         *((F.get(fields, F.lit(i)).try_cast("double") if i < 5 else F.coalesce(F.get(fields, F.lit(i)).try_cast("double"), F.lit(0.0))).alias(c) for i, c in enumerate(_LINE) if i),
     )
-    return out.where(F.col("ts").isNotNull() & F.least("open", "close", "high", "low").isNotNull() & (F.size(fields) >= 5)).drop("line", text)
+    return out.where(F.col("ts").isNotNull() & (F.size(F.split("line", ",")) >= 5)).dropna(subset=["open", "close", "high", "low"]).drop("line", text)
 
 
 def market_of(code: Column) -> Column:
