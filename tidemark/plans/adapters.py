@@ -14,14 +14,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
-    """All doubles rounded, with no negative zero."""
+def nearest(value: Column) -> Column:
+    """To six decimals. Halves go up with a margin, as means of cents often are halves but for the order of summing."""
+    return F.floor(value * 1e6 + 0.5001) / 1e6
+
+
+def rounded(frame: DataFrame) -> DataFrame:
+    """All doubles to six decimals."""
     doubles = {f.name for f in frame.schema.fields if isinstance(f.dataType, DoubleType)}
-    return frame.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if c in doubles else F.col(c) for c in frame.columns))
+    return frame.select(*(nearest(F.col(c)).alias(c) if c in doubles else F.col(c) for c in frame.columns))
 
 
 def r(expression: str, alias: str | None = None) -> str:
-    return f"round({expression}, 6) + 0 AS {alias or expression}"
+    return f"floor(({expression}) * 1e6 + 0.5001) / 1e6 AS {alias or expression}"
 
 
 def daily(spark: SparkSession, sf_dir: str, instrument: str = "event_type") -> DataFrame:

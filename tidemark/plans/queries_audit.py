@@ -93,7 +93,7 @@ def offending_instrument_semi_join(spark, d):
 
 
 @query("asof_last_tick", """WITH l AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), q AS (SELECT user_id, ts AS qts, value FROM events WHERE event_type <> 'purchase')
-  SELECT l.event_id, l.user_id, l.ts, q.qts AS asof_quote_ts, round(q.value, 6) + 0 AS value FROM l ASOF LEFT JOIN q ON l.user_id = q.user_id AND l.ts >= q.qts""")
+  SELECT l.event_id, l.user_id, l.ts, q.qts AS asof_quote_ts, floor((q.value) * 1e6 + 0.5001) / 1e6 AS value FROM l ASOF LEFT JOIN q ON l.user_id = q.user_id AND l.ts >= q.qts""")
 def asof_last_tick(spark, d):
     ticks = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value")
     left = ticks.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
@@ -245,7 +245,7 @@ def block_window_truth_join(spark, d):
 
 
 @query("sector_theta_match", """WITH hot AS (SELECT * FROM (VALUES ('ring', 0.3::DOUBLE), ('widget', 0.8), ('red', 0.5)) v(sector, momentum))
-  SELECT p_partkey, round(avg(momentum), 6) + 0 AS mean_momentum, bool_or(momentum > 0.6) AS any_hot, arg_max(sector, momentum) AS main_sector FROM part JOIN hot ON contains(p_name, sector) GROUP BY 1""")
+  SELECT p_partkey, floor((avg(momentum)) * 1e6 + 0.5001) / 1e6 AS mean_momentum, bool_or(momentum > 0.6) AS any_hot, arg_max(sector, momentum) AS main_sector FROM part JOIN hot ON contains(p_name, sector) GROUP BY 1""")
 def sector_theta_match(spark, d):
     hot = spark.createDataFrame([("ring", 0.3), ("widget", 0.8), ("red", 0.5)], "sector string, momentum double")
     matched = table(spark, d, "part").join(F.broadcast(hot), F.col("p_name").contains(F.col("sector")))  # three sectors

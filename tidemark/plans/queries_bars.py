@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import baselines, windows
 from ..operators import bars as B
 from ..sources import readers
+from . import adapters as A
 from .adapters import NATION_SQL, bars_sql, daily, hourly, nation_daily, r, rounded, table
 from .registry import query
 
@@ -103,11 +104,11 @@ def recent_trend_slope(spark, d):
 
 @query("sliding_window_norm", f"""{DAY}, s AS (SELECT instrument_id, ts, list(close) OVER b AS c, list(close) OVER f AS t, avg(close) OVER b AS m, stddev_pop(close) OVER b AS sd FROM bars
   WINDOW b AS (PARTITION BY instrument_id ORDER BY ts ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), f AS (PARTITION BY instrument_id ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING))
-  SELECT instrument_id, ts, list_transform(c, lambda x: round(greatest(-5, least(5, (x - m) / (sd + 1e-5))), 6) + 0) AS context_z,
-    list_transform(t, lambda x: round(greatest(-5, least(5, (x - m) / (sd + 1e-5))), 6) + 0) AS target_z FROM s WHERE len(c) = 8 AND len(t) = 3""")
+  SELECT instrument_id, ts, list_transform(c, lambda x: floor(greatest(-5, least(5, (x - m) / (sd + 1e-5))) * 1e6 + 0.5001) / 1e6) AS context_z,
+    list_transform(t, lambda x: floor(greatest(-5, least(5, (x - m) / (sd + 1e-5))) * 1e6 + 0.5001) / 1e6) AS target_z FROM s WHERE len(c) = 8 AND len(t) = 3""")
 def sliding_window_norm(spark, d):
     rows = windows.sliding_windows(daily(spark, d), "close", context=8, horizon=3)
-    return rows.select("instrument_id", "ts", *(F.transform(c, lambda x: F.round(x, 6) + 0.0).alias(c) for c in ("context_z", "target_z")))
+    return rows.select("instrument_id", "ts", *(F.transform(c, A.nearest).alias(c) for c in ("context_z", "target_z")))
 
 
 @query("pseudo_shuffle_index", "SELECT event_id, (event_id * 9973 + 3 * 104729) % 1001 AS start FROM events")

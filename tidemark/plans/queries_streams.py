@@ -57,14 +57,14 @@ def session_windows(spark, d):
     return _plain(S.sessions(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), gap="6 hours"))
 
 
-@query("stream_dedup", "SELECT event_id, user_id, ts, round(value, 6) + 0 AS value FROM events")
+@query("stream_dedup", "SELECT event_id, user_id, ts, floor((value) * 1e6 + 0.5001) / 1e6 AS value FROM events")
 def stream_dedup(spark, d):
     ticks = _ticks(spark, d).select("event_id", "user_id", "ts", "value")
     twice = ticks.withColumn("_k", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_k")
     return _plain(rounded(S.run_available(spark, S.deduplicated(twice, delay="60 days"), "dedup", _folder(spark))))
 
 
-@query("stream_state_delta", """SELECT event_type, event_id, round(value - coalesce(lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id), value), 6) + 0 AS delta FROM events""")
+@query("stream_state_delta", """SELECT event_type, event_id, floor((value - coalesce(lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id), value)) * 1e6 + 0.5001) / 1e6 AS delta FROM events""")
 def stream_state_delta(spark, d):
     return rounded(S.run_available(spark, S.deltas(_ticks(spark, d)), "delta", _folder(spark)))
 
