@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import checks
-from tidemark.operators import backtest, bars, baselines, costs, folds, identity, metrics, paths, pit, rules, splits, windows
-from tidemark.sources import readers, writers
+from tidemark.operators import backtest, bars, baselines, costs, evaluation, folds, identity, metrics, paths, pit, rules, splits, windows
+from tidemark.sources import readers, replay, writers
 
 DAYS = "SELECT id, timestamp'2020-01-01' + make_dt_interval(cast(7 * floor((id + 2) / 5) + (id + 2) % 5 - 2 as int)) AS ts FROM range(80)"
 
@@ -356,3 +356,24 @@ def test_argument_checks():
     for bad in (lambda: checks.whole(True, "n"), lambda: checks.whole(0, "n"), lambda: checks.finite(math.nan, "x"), lambda: checks.text(" ", "t"), lambda: checks.utc("2025-01-01T00:00:00", "t")):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_replay_source(spark, tmp_path):
+    (tmp_path / "600000.csv").write_text("﻿日期,开盘,收盘,最高,最低,成交量\n2025-01-02,1,2,3,0.5,\"1,000\"\n2025-01-03,x,2,3,0.5,5\n", encoding="utf-8")
+    (tmp_path / "000001.csv").write_text("ts,open,close\n2025-01-02,1,2\n")
+    spark.dataSource.register(replay.ReplaySource)
+    rows = spark.read.format("tidemark_replay").option("path", str(tmp_path)).load().orderBy("instrument_id", "ts").collect()
+    assert [(r.instrument_id, r.open, r.volume) for r in rows] == [("000001", 1.0, None), ("600000", 1.0, 1000.0), ("600000", None, 5.0)]
+
+
+def test_evaluation(spark):
+    frame = observations(spark).withColumn("model_name", F.lit("a"))
+    both = frame.unionByName(frame.withColumn("model_name", F.lit("b")))
+    assert evaluation.missing_models(both, ["a", "b", "c"]) == ["c"] and evaluation.truth_mismatch(both).count() == 0
+    assert evaluation.truth_mismatch(both.where("NOT (model_name = 'b' AND as_of = 1)")).count() == 6
+    scored = evaluation.score_models(both.withColumn("fold_id", F.lit("f"))).collect()
+    assert {(r.model_name, r.n, r.mae) for r in scored} == {("a", 18, 0), ("b", 18, 0)}
+    folds_ = spark.createDataFrame([("d", "c", "s", 1), ("d", "c", "t", 2)], "dataset_id string, code_commit string, split_hash string, fold int")
+    audits = spark.createDataFrame([("d", "c", "s", True, "x")], "dataset_id string, code_commit string, split_hash string, passed boolean, audit_id string")
+    done = evaluation.attach_audit(folds_, audits)
+    assert {r.fold: r.audited for r in done.collect()} == {1: True, 2: False} and not evaluation.decision_grade(done).first()[0]

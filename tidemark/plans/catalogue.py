@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import metrics
-from . import queries_audit, queries_bars, queries_scores, queries_streams  # noqa: F401
+from . import queries_audit, queries_bars, queries_profile, queries_scores, queries_streams  # noqa: F401
 from .adapters import daily, observations, rounded
 from .registry import oracle_sql, queries  # noqa: F401
 
