@@ -89,6 +89,7 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     marked = distinct.where("n > 1").select("h1", "h2", "first", F.lit(False).alias("near"))
     marked = marked.unionByName(near.select("h1", "h2", "first", F.lit(True).alias("near")))
     marked = marked.groupBy("h1", "h2").agg(F.any_value("first").alias("first"), F.bool_or("near").alias("near"))
+    marked = scratch.write(marked, "marked")  # read from a table, the join below can split the places of a common line
     hits = lines.select(*_PLACE, "h1", "h2").join(marked, ["h1", "h2"])
     gone = F.col("near") | ~F.struct(*_PLACE).eqNullSafe(F.col("first"))
     return hits.where(gone).select("doc_id", "digest", "line_no")
