@@ -148,10 +148,14 @@ def _alike(x: str, y: str) -> Column:
     return sizes & (differ <= SKETCH_BITS)
 
 
+def _with_parts(rows: DataFrame, by_key: DataFrame, key: str, rep: str) -> DataFrame:
+    """Join a row for each key to its members, which are dealt out over SALTS parts, as one key may hold most."""
+    parts = by_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(rep), F.lit(SALTS)).cast("int")).join(parts, [key, "_salt"]).drop("_salt")
+
+
 def _with_node(rows: DataFrame, by_node: DataFrame, rep: str) -> DataFrame:
-    """Join a row for each node to its members, which are dealt out over SALTS parts, as one node may hold most."""
-    parts = by_node.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(rep), F.lit(SALTS)).cast("int")).join(parts, ["node", "_salt"]).drop("_salt")
+    return _with_parts(rows, by_node, "node", rep)
 
 
 class _Join:
@@ -163,7 +167,7 @@ class _Join:
         self.scratch = Scratch(self.spark, "near")
 
     def leaves(self, classes: DataFrame) -> DataFrame:
-        """(node, rep, large) for the classes of each node that is not split further."""
+        """(node, rep, pivot, large) for the classes of each node that is not split further."""
         trees = F.transform(
             F.sequence(F.lit(0), F.lit(TREES - 1)),
             lambda t: F.struct(t.alias("tree"), F.slice("tokens", t * DEPTH + 1, F.lit(DEPTH)).alias("path")),
@@ -181,16 +185,16 @@ class _Join:
         below = below.select("node", "rep", "tree", F.explode(paths).alias("b"))
         below = below.select(F.xxhash64("node", "b.branch").alias("node"), "rep", "tree", "b.path")
         more, rest = self._descend(below, "second")
-        ended = reduce(DataFrame.unionByName, [*found, *more]).select("node", "rep", F.lit(False).alias("large"))
-        return ended.unionByName(rest.select("node", "rep", F.lit(True).alias("large")))
+        ended = reduce(DataFrame.unionByName, [*found, *more]).withColumn("large", F.lit(False))
+        return ended.unionByName(rest.select("node", "rep", "pivot", F.lit(True).alias("large")))
 
     def _descend(self, rows: DataFrame, label: str) -> tuple[list[DataFrame], DataFrame]:
         small = []
         for level in range(DEPTH):
             rows = rows.select(F.xxhash64("node", F.col("path")[level]).alias("node"), "rep", "tree", "path")
-            sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-            rows = self.scratch.write(_with_node(rows, sizes, "rep"), f"{label}-{level}")
-            small.append(rows.where(F.col("size") <= SMALL).select("node", "rep"))
+            sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
+            rows = self.scratch.write(_with_node(rows.drop("pivot"), sizes, "rep"), f"{label}-{level}")
+            small.append(rows.where(F.col("size") <= SMALL).select("node", "rep", "pivot"))
             rows = rows.where(F.col("size") > SMALL).drop("size")
         return small, rows
 
@@ -234,11 +238,13 @@ class _Join:
         doubled = classes.groupBy("rep").agg(F.count("*").alias("k")).where("k > 1").select("rep")
         nodes = classes.join(doubled, "rep", "left_anti")
         leaves = self.leaves(nodes).join(nodes.select("rep", "n", "sketch"), "rep")
-        leaves = self.scratch.write(leaves.select("node", "large", F.struct("rep", "n", "sketch").alias("m")), "leaves")
+        leaves = self.scratch.write(leaves.select("node", "large", "pivot", F.struct("rep", "n", "sketch").alias("m")), "leaves")
 
-        pivots = leaves.groupBy("node").agg(F.min("m").alias("p"))
-        stars = _with_node(leaves, pivots, "m.rep").where((F.col("m.rep") != F.col("p.rep")) & _alike("m", "p"))
-        stars = self.scratch.write(stars.select(F.col("p.rep").alias("a"), F.col("m.rep").alias("b")).distinct(), "stars")
+        members = leaves.where(F.col("m.rep") != F.col("pivot")).select("pivot", "m").distinct()
+        pivots = nodes.join(leaves.select(F.col("pivot").alias("rep")).distinct(), "rep", "left_semi")
+        pivots = pivots.select(F.col("rep").alias("pivot"), F.struct("rep", "n", "sketch").alias("p"))
+        stars = _with_parts(members, pivots, "pivot", "m.rep").where(_alike("m", "p"))
+        stars = self.scratch.write(stars.select(F.col("p.rep").alias("a"), F.col("m.rep").alias("b")), "stars")
         groups = leaves.where("NOT large").groupBy("node").agg(F.sort_array(F.collect_list("m")).alias("all")).where(F.size("all") > 2)
         pairs = groups.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("y"))
         pairs = pairs.where(_alike("x", "y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
