@@ -17,7 +17,8 @@ links most groups of copies with as many comparisons as members. Then small leav
 compare all pairs that are in different components so far, and large leaves all blocks.
 Sketches of 256 bits differ in 19 bits on average at similarity 0.85, with a standard
 deviation of 4; pairs that differ in more than ``SKETCH_BITS``, 5 deviations off, are ruled out
-before their sets are read. Every link is confirmed on full sets. Components come from alternating large-star and small-star steps on the links.
+before their sets are read. Every link is confirmed on full sets. Components come from
+alternating large-star and small-star steps on the links.
 """
 
 from __future__ import annotations
@@ -167,7 +168,7 @@ class _Join:
         self.scratch = Scratch(self.spark, "near")
 
     def leaves(self, classes: DataFrame) -> DataFrame:
-        """(node, rep, pivot, large) for the classes of each node that is not split further."""
+        """(node, rep, pivot, size) for the classes of each node that is not split further; size of large ones only."""
         trees = F.transform(
             F.sequence(F.lit(0), F.lit(TREES - 1)),
             lambda t: F.struct(t.alias("tree"), F.slice("tokens", t * DEPTH + 1, F.lit(DEPTH)).alias("path")),
@@ -185,17 +186,17 @@ class _Join:
         below = below.select("node", "rep", "tree", F.explode(paths).alias("b"))
         below = below.select(F.xxhash64("node", "b.branch").alias("node"), "rep", "tree", "b.path")
         more, rest = self._descend(below, "second")
-        ended = reduce(DataFrame.unionByName, [*found, *more]).withColumn("large", F.lit(False))
-        return ended.unionByName(rest.select("node", "rep", "pivot", F.lit(True).alias("large")))
+        ended = reduce(DataFrame.unionByName, [*found, *more]).withColumn("size", F.lit(None).cast("bigint"))
+        return ended.unionByName(rest.select("node", "rep", "pivot", "size"))
 
     def _descend(self, rows: DataFrame, label: str) -> tuple[list[DataFrame], DataFrame]:
         small = []
         for level in range(DEPTH):
             rows = rows.select(F.xxhash64("node", F.col("path")[level]).alias("node"), "rep", "tree", "path")
             sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
-            rows = self.scratch.write(_with_node(rows.drop("pivot"), sizes, "rep"), f"{label}-{level}")
+            rows = self.scratch.write(_with_node(rows, sizes, "rep"), f"{label}-{level}")
             small.append(rows.where(F.col("size") <= SMALL).select("node", "rep", "pivot"))
-            rows = rows.where(F.col("size") > SMALL).drop("size")
+            rows = rows.where(F.col("size") > SMALL)
         return small, rows
 
     def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -238,19 +239,19 @@ class _Join:
         doubled = classes.groupBy("rep").agg(F.count("*").alias("k")).where("k > 1").select("rep")
         nodes = classes.join(doubled, "rep", "left_anti")
         leaves = self.leaves(nodes).join(nodes.select("rep", "n", "sketch"), "rep")
-        leaves = self.scratch.write(leaves.select("node", "large", "pivot", F.struct("rep", "n", "sketch").alias("m")), "leaves")
+        leaves = self.scratch.write(leaves.select("node", "size", "pivot", F.struct("rep", "n", "sketch").alias("m")), "leaves")
 
         members = leaves.where(F.col("m.rep") != F.col("pivot")).select("pivot", "m").distinct()
         pivots = nodes.join(leaves.select(F.col("pivot").alias("rep")).distinct(), "rep", "left_semi")
         pivots = pivots.select(F.col("rep").alias("pivot"), F.struct("rep", "n", "sketch").alias("p"))
         stars = _with_parts(members, pivots, "pivot", "m.rep").where(_alike("m", "p"))
         stars = self.scratch.write(stars.select(F.col("p.rep").alias("a"), F.col("m.rep").alias("b")), "stars")
-        groups = leaves.where("NOT large").groupBy("node").agg(F.sort_array(F.collect_list("m")).alias("all")).where(F.size("all") > 2)
+        groups = leaves.where("size IS NULL").groupBy("node").agg(F.sort_array(F.collect_list("m")).alias("all")).where(F.size("all") > 2)
         pairs = groups.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("y"))
         pairs = pairs.where(_alike("x", "y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
         pairs = self.scratch.write(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
 
-        crowded = leaves.where("large").select("node", "m")
+        crowded = leaves.where("size IS NOT NULL").select("node", "size", "m")
         needed = reduce(DataFrame.unionByName, [x.select(F.col(c).alias("doc_id")) for x in (stars, pairs) for c in ("a", "b")])
         needed = needed.unionByName(crowded.select(F.col("m.rep").alias("doc_id"))).distinct()
         sets = self.documents.join(needed, "doc_id", "left_semi").mapInArrow(_sets, "rep bigint, set binary").dropDuplicates(["rep"])
@@ -269,8 +270,7 @@ class _Join:
 
     def _blocks(self, crowded: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
         """Links between all pairs of large leaves, in blocks; of each two blocks a spanning forest."""
-        sizes = crowded.groupBy("node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        rows = _with_node(crowded, sizes, "m.rep").join(found.withColumnRenamed("id", "rep"), F.col("m.rep") == F.col("rep"), "left")
+        rows = crowded.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).join(found.withColumnRenamed("id", "rep"), F.col("m.rep") == F.col("rep"), "left")
         rows = rows.withColumn("root", F.coalesce("root", "m.rep")).withColumn("own", F.pmod(F.xxhash64("m.rep"), F.col("blocks")).cast("int"))
         rows = rows.select("node", F.col("m.rep").alias("rep"), "m.sketch", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         rows = rows.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).drop("other")
