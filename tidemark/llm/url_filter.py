@@ -133,7 +133,7 @@ def rule_column(host: Column, path: Column, rules: Sequence[tuple[str, str]]) ->
 def score_column(text: Column, weights: Sequence[int]) -> Column:
     """The sum of the weights of all n-grams, in millionths."""
     codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    table = F.array(*(F.lit(w).cast("long") for w in weights))
+    table = F.expr(f"array({','.join(f'{w}L' for w in weights)})")  # one call for all literals
 
     def ngrams(x: Column, n: int) -> Column:
         def bucket(i: Column) -> Column:
