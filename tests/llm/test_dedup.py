@@ -122,6 +122,33 @@ def test_groups_special_cases(spark):
     assert near_dedup.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_the_stage_links_from_eighty_percent(spark):
+    """Two words changed in 104 leave 90 of 110 shingles, a similarity of 0.82."""
+    texts = []
+    for k in range(30):
+        words = [f"w{k}x{i}" for i in range(104)]
+        edited = ["new" if i in (30, 70) else w for i, w in enumerate(words)]
+        texts += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(edited))]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dedup.deduplicate(frame).collect()) == list(range(0, 60, 2))
+    assert all(r.kept for r in near_dedup.near_groups(frame).collect())
+
+
+def test_the_stage_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 6)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rows = near_rows(6, clouds=3, size=70)
+    words = near_dedup._Words()
+    sets = {d: set(near_dedup.shingles(t, words).tolist()) for d, t in rows}
+    least = {d: d for d in sets}
+    links = [(a, b) for a in sets for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    while any(least[a] != least[b] for a, b in links):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in near_dedup.deduplicate(frame).collect()} == {d for d in sets if least[d] == d}
+
+
 ITEM = "If Maria buys 3 apples and Tom buys 5 apples, how many apples do Maria and Tom have together after 2 days?"
 
 

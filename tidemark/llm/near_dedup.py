@@ -8,23 +8,27 @@ most ``SMALL`` classes are leaves. A node that is still larger at the end of its
 branches: each of its classes follows several further paths below it. What is large even
 then is compared in blocks, all of it, so there is no cap on partners.
 
-With ``TREES`` trees of depth 3 a pair of similarity 0.85 shares a leaf with probability
-1 - (1 - 0.85^3)^10 = 0.9999, more similar pairs more surely; below a large node, four
-paths of depth 3 each keep 0.978, over the trees 0.9997 or more.
+A link takes the similarity of the ``Settings``: 0.85 in op7 (``CONTRACT``), 0.80 in the
+pipeline (``STAGE``). With ten trees of depth 3 a pair of similarity 0.85 shares a leaf with
+probability 1 - (1 - 0.85^3)^10 = 0.9999, more similar pairs more surely; below a large node,
+four paths of depth 3 each keep 0.978, over the trees 0.9997 or more. At 0.80 the trees and
+paths have depth 2: 1 - (1 - 0.80^2)^10 = 0.9999, and four paths of depth 2 keep 0.983, over
+the trees 0.9998.
 
 Comparing has two rounds. First each class of a leaf meets the leaf's smallest id, which
 links most groups of copies with as many comparisons as members. Then small leaves
 compare all pairs that are in different components so far, and large leaves all blocks.
 Sketches of 256 bits differ in 19 bits on average at similarity 0.85, with a standard
-deviation of 4; pairs that differ in more than ``SKETCH_BITS``, 5 deviations off, are ruled out
-before their sets are read. Every link is confirmed on full sets. Components come from
+deviation of 4, in 26 at 0.80, with one of 5; pairs that differ in more than ``sketch_bits``, 5
+deviations off, are ruled out before their sets are read. Every link is confirmed on full sets. Components come from
 alternating large-star and small-star steps on the links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +39,32 @@ from . import common
 from .common import Scratch
 
 SHINGLE, PERCENT = 5, 85
-TREES, DEPTH = 10, 3
-BRANCHES, FAMILIES = 4, 3
 SMALL, BLOCK = 48, 128
 SALTS = 16
-SKETCH_BITS = 40
-_FUNCTIONS = TREES * DEPTH + FAMILIES * BRANCHES * DEPTH
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _BATCH = 1 << 22
 REMEMBERED = 400_000
 
 
+class Settings(NamedTuple):
+    """The least similarity of a link in percent, and the search that meets such pairs."""
+
+    percent: int
+    trees: int
+    depth: int
+    branches: int
+    families: int
+    sketch_bits: int
+
+    @property
+    def functions(self) -> int:
+        return (self.trees + self.families * self.branches) * self.depth
+
+
+CONTRACT = Settings(PERCENT, trees=10, depth=3, branches=4, families=3, sketch_bits=40)
+STAGE = Settings(80, trees=10, depth=2, branches=4, families=3, sketch_bits=50)
+
+
 class _Words(dict):
     """Hashes of words, A-Z as a-z."""
 
@@ -73,15 +92,15 @@ def shingles(text: str, words: _Words, size: int = SHINGLE) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(29)))
 
 
-def _functions() -> tuple[np.ndarray, np.ndarray]:
+def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240607)
-    return rng.integers(0, 1 << 31, _FUNCTIONS).astype(np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, _FUNCTIONS, dtype=np.uint32)
+    return rng.integers(0, 1 << 31, n).astype(np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
-def signature(found: np.ndarray) -> tuple[np.ndarray, bytes]:
+def signature(found: np.ndarray, functions: int) -> tuple[np.ndarray, bytes]:
     """Minwise tokens by all functions, and a sketch of one bit for each of 256 bins."""
     small = (found >> np.uint64(32)).astype(np.uint32)
-    a, b = _functions()
+    a, b = _functions(functions)
     tokens = np.full(len(a), 0xFFFFFFFF, np.uint32)
     for start in range(0, len(small), 4096):
         np.minimum(tokens, (small[None, start : start + 4096] * a[:, None] + b[:, None]).min(axis=1), out=tokens)
@@ -96,7 +115,7 @@ def signature(found: np.ndarray) -> tuple[np.ndarray, bytes]:
 _SIGNED = "doc_id bigint, n_shingles bigint, set_id binary, tokens array<int>, sketch array<bigint>"
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], functions: int) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     words = _Words()
@@ -111,7 +130,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text in texts[start : i + 1]:
                 found = shingles(text or "", words)
                 if len(found):
-                    tokens, sketch = signature(found)
+                    tokens, sketch = signature(found, functions)
                     rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), tokens, np.frombuffer(sketch, np.int64)))
                 else:
                     rows.append((0, None, None, None))
@@ -128,25 +147,25 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.large_binary())], names=["rep", "set"])
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     common_size = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common_size >= PERCENT * (len(a) + len(b) - common_size)
+    return 100 * common_size >= percent * (len(a) + len(b) - common_size)
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = [
-            similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+            similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
             for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)
         ]
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _alike(x: str, y: str) -> Column:
+def _alike(x: str, y: str, settings: Settings) -> Column:
     """Sizes and sketches that a link needs."""
     differ = reduce(lambda p, q: p + q, (F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(4)))
-    sizes = F.least(f"{x}.n", f"{y}.n") * 100 >= F.greatest(f"{x}.n", f"{y}.n") * PERCENT
-    return sizes & (differ <= SKETCH_BITS)
+    sizes = F.least(f"{x}.n", f"{y}.n") * 100 >= F.greatest(f"{x}.n", f"{y}.n") * settings.percent
+    return sizes & (differ <= settings.sketch_bits)
 
 
 def _with_parts(rows: DataFrame, by_key: DataFrame, key: str, rep: str) -> DataFrame:
@@ -162,24 +181,26 @@ def _with_node(rows: DataFrame, by_node: DataFrame, rep: str) -> DataFrame:
 class _Join:
     """The steps of one run; tables between them are written to the shared folder."""
 
-    def __init__(self, documents: DataFrame):
+    def __init__(self, documents: DataFrame, settings: Settings):
+        self.settings = settings
         self.documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
         self.spark = documents.sparkSession
         self.scratch = Scratch(self.spark, "near")
 
     def leaves(self, classes: DataFrame) -> DataFrame:
         """(node, rep, pivot, size) for the classes of each node that is not split further; size of large ones only."""
+        _, n_trees, depth, branches, families, _ = self.settings
         trees = F.transform(
-            F.sequence(F.lit(0), F.lit(TREES - 1)),
-            lambda t: F.struct(t.alias("tree"), F.slice("tokens", t * DEPTH + 1, F.lit(DEPTH)).alias("path")),
+            F.sequence(F.lit(0), F.lit(n_trees - 1)),
+            lambda t: F.struct(t.alias("tree"), F.slice("tokens", t * depth + 1, F.lit(depth)).alias("path")),
         )
         rows = classes.select("rep", F.explode(trees).alias("t")).select(F.xxhash64("t.tree").alias("node"), "rep", "t.tree", "t.path")
         found, large = self._descend(rows, "first")
         paths = F.transform(
-            F.sequence(F.lit(0), F.lit(BRANCHES - 1)),
+            F.sequence(F.lit(0), F.lit(branches - 1)),
             lambda k: F.struct(
                 k.alias("branch"),
-                F.slice("tokens", TREES * DEPTH + ((F.col("tree") % FAMILIES) * BRANCHES + k) * DEPTH + 1, F.lit(DEPTH)).alias("path"),
+                F.slice("tokens", n_trees * depth + ((F.col("tree") % families) * branches + k) * depth + 1, F.lit(depth)).alias("path"),
             ),
         )
         below = large.select("node", "rep", "tree").join(classes.select("rep", "tokens"), "rep")
@@ -191,7 +212,7 @@ class _Join:
 
     def _descend(self, rows: DataFrame, label: str) -> tuple[list[DataFrame], DataFrame]:
         small = []
-        for level in range(DEPTH):
+        for level in range(self.settings.depth):
             rows = rows.select(F.xxhash64("node", F.col("path")[level]).alias("node"), "rep", "tree", "path")
             sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
             rows = self.scratch.write(_with_node(rows, sizes, "rep"), f"{label}-{level}")
@@ -201,7 +222,7 @@ class _Join:
 
     def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         first, second = (sets.select(F.col("rep").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
-        return pairs.join(first, "a").join(second, "b").mapInArrow(_confirm, "a bigint, b bigint")
+        return pairs.join(first, "a").join(second, "b").mapInArrow(partial(_confirm, percent=self.settings.percent), "a bigint, b bigint")
 
     def components(self, links: DataFrame, label: str) -> DataFrame:
         """(id, root) for each id with a link, root being the smallest id that it reaches."""
@@ -229,7 +250,7 @@ class _Join:
 
     def run(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Signed documents, classes (set_id, rep), and components of classes (id, root)."""
-        signed = self.scratch.write(self.documents.mapInArrow(_sign, _SIGNED), "signed")
+        signed = self.scratch.write(self.documents.mapInArrow(partial(_sign, functions=self.settings.functions), _SIGNED), "signed")
         usable = signed.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
         classes = usable.groupBy("set_id").agg(
             F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("tokens").alias("tokens"), F.any_value("sketch").alias("sketch")
@@ -244,11 +265,11 @@ class _Join:
         members = leaves.where(F.col("m.rep") != F.col("pivot")).select("pivot", "m").distinct()
         pivots = nodes.join(leaves.select(F.col("pivot").alias("rep")).distinct(), "rep", "left_semi")
         pivots = pivots.select(F.col("rep").alias("pivot"), F.struct("rep", "n", "sketch").alias("p"))
-        stars = _with_parts(members, pivots, "pivot", "m.rep").where(_alike("m", "p"))
+        stars = _with_parts(members, pivots, "pivot", "m.rep").where(_alike("m", "p", self.settings))
         stars = self.scratch.write(stars.select(F.col("p.rep").alias("a"), F.col("m.rep").alias("b")), "stars")
         groups = leaves.where("size IS NULL").groupBy("node").agg(F.sort_array(F.collect_list("m")).alias("all")).where(F.size("all") > 2)
         pairs = groups.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("y"))
-        pairs = pairs.where(_alike("x", "y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+        pairs = pairs.where(_alike("x", "y", self.settings)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
         pairs = self.scratch.write(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
 
         crowded = leaves.where("size IS NOT NULL").select("node", "size", "m")
@@ -274,10 +295,15 @@ class _Join:
         rows = rows.withColumn("root", F.coalesce("root", "m.rep")).withColumn("own", F.pmod(F.xxhash64("m.rep"), F.col("blocks")).cast("int"))
         rows = rows.select("node", F.col("m.rep").alias("rep"), "m.sketch", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         rows = rows.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).drop("other")
-        return rows.join(sets, "rep").groupBy("node", "i", "j").applyInArrow(_compare_blocks, "a bigint, b bigint")
+        settings = self.settings
+
+        def compare(group: pa.Table) -> pa.Table:
+            return _compare_blocks(group, settings)
+
+        return rows.join(sets, "rep").groupBy("node", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
-def _compare_blocks(group: pa.Table) -> pa.Table:
+def _compare_blocks(group: pa.Table, settings: Settings) -> pa.Table:
     reps, roots, own = (group.column(c).to_pylist() for c in ("rep", "root", "own"))
     sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
     sketches = np.array(group.column("sketch").to_pylist(), np.int64)
@@ -294,28 +320,28 @@ def _compare_blocks(group: pa.Table) -> pa.Table:
     own_block = np.array(own)
     for p in range(len(reps)):
         differ = np.bitwise_count(sketches ^ sketches[p]).sum(axis=1)
-        fits = (differ <= SKETCH_BITS) & (100 * np.minimum(sizes, sizes[p]) >= PERCENT * np.maximum(sizes, sizes[p]))
+        fits = (differ <= settings.sketch_bits) & (100 * np.minimum(sizes, sizes[p]) >= settings.percent * np.maximum(sizes, sizes[p]))
         fits &= (np.arange(len(reps)) > p) & (within | (own_block != own_block[p]))
         for q in np.flatnonzero(fits):
             x, y = root(roots[p]), root(roots[q])
-            if x != y and similar(sets[p], sets[q]):
+            if x != y and similar(sets[p], sets[q], settings.percent):
                 above[x] = y
                 links.append((reps[p], reps[q]))
     a, b = zip(*links, strict=True) if links else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def near_groups(documents: DataFrame) -> DataFrame:
+def near_groups(documents: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, set_id) for each row with columns doc_id and text.
 
-    component_id is the smallest doc_id in reach over links of 85 percent, the document
-    itself included; kept is whether it is doc_id. A null or empty text, or one
+    component_id is the smallest doc_id in reach over links of at least settings.percent, the
+    document itself included; kept is whether it is doc_id. A null or empty text, or one
     without words, has no shingle and links with nothing. A row without doc_id has a
     null component and is kept. Repeated rows have equal results. Texts under a shared
     doc_id are grouped by equal sets only. Other columns are ignored. Without documents
     the result is empty.
     """
-    signed, classes, found = _Join(documents).run()
+    signed, classes, found = _Join(documents, settings).run()
     known = classes.select("set_id", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     known = known.select("set_id", F.coalesce("root", "rep").alias("root"))
     rows = signed.select("doc_id", "n_shingles", "set_id").join(known, "set_id", "left")
@@ -323,15 +349,15 @@ def near_groups(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "set_id")
 
 
-def deduplicate(documents: DataFrame) -> DataFrame:
+def deduplicate(documents: DataFrame, settings: Settings = STAGE) -> DataFrame:
     """The rows of documents that are kept, as they are; of rows equal in doc_id and text, one."""
-    kept = near_groups(documents).where("kept").select("doc_id").distinct()
+    kept = near_groups(documents, settings).where("kept").select("doc_id").distinct()
     rows = documents.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     return rows.dropDuplicates(["doc_id", "text"])
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(common.table(spark, sf_dir, "documents").select("doc_id", "text")).drop("set_id")
+    return near_groups(common.table(spark, sf_dir, "documents").select("doc_id", "text"), CONTRACT).drop("set_id")
 
 
 QUERIES = {"op7_near_dedup": op7}
