@@ -169,6 +169,19 @@ def test_templates_catch_new_numbers_and_names(spark):
     assert decontamination.find(spark.createDataFrame([], "doc_id long, text string"), bench).count() == 0
 
 
+def test_edited_and_cut_items_are_held(spark):
+    words = [f"word{i}" for i in range(40)]
+    short = words[:15]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "x " + " ".join(f"few{i}" for i in range(14)))], "item_id long, text string")
+    edited = ["other" if i in (6, 20, 33) else w for i, w in enumerate(words)]
+    small = ["x", *(f"few{i}" for i in range(14))]
+    small[7] = "other"
+    rows = [(1, " ".join(edited)), (2, "before it " + " ".join(words[:30])), (3, " ".join(small)), (4, " ".join(words[5:17])), (5, " ".join(reversed(words))), (6, " ".join(short[:12] + ["and"] * 9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.find(docs, bench).collect()) == [(1, 1), (2, 1), (3, 2)]
+    assert sorted(r.doc_id for r in decontamination.clean(docs, bench).collect()) == [4, 5, 6]
+
+
 def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")

@@ -5,7 +5,10 @@ numbers, units and names become typed placeholders. A name is a capitalised word
 that does not start a sentence or line. All windows of five template words
 (with at least two literal ones) of the benchmark are hashed and joined with
 those of each text. A document holds an item if at least ``SHARE`` of the item's
-distinct windows are found in it and the slots are consistent: along the matched
+distinct windows are found in it, or a part of the item is: ``ALIGNED`` windows (13 words,
+where they are in one run) or half of a shorter item's, ``LEAST`` of them at least, with the same
+offset give or take a window. So an item with changed words or cut lines is held too.
+In each case the slots must be consistent: along the matched
 windows, one value of the item must always become the same value in the
 document, for at least ``SHARE`` of the slots. So a question asked again with other
 numbers or names is found, and prose that only shares a pattern is not.
@@ -30,6 +33,7 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType
 from . import common
 
 WINDOW, SHARE, MIN_LITERAL = 5, 0.8, 2
+ALIGNED, LEAST = 9, 4
 MAX_WINDOWS = 1_000_000
 REMEMBERED = 400_000
 _BATCH = 1 << 22
@@ -175,12 +179,24 @@ class Index:
                     matched[item][h].append((int(p), q))
             for item, by_hash in matched.items():
                 share = len(by_hash) / self.sizes[item]
-                if share >= SHARE:
+                if share >= SHARE or self._aligned(by_hash) >= max(LEAST, min(ALIGNED, (self.sizes[item] + 1) // 2)):
                     slots, consistent, equal = self._slots(item, by_hash, at, words)
                     if consistent >= SHARE:
                         found[t].append((item, share, slots, consistent, equal))
         return found
 
+    @staticmethod
+    def _aligned(by_hash: dict) -> int:
+        """Most distinct windows on one diagonal and those at most a window beside it."""
+        if len(by_hash) < LEAST:
+            return 0
+        on: dict[int, set[int]] = defaultdict(set)
+        for h, found in by_hash.items():
+            for p, q in found:
+                on[p - q].add(h)
+        main = max(on, key=lambda d: (len(on[d]), -d))
+        return len(set().union(*(on.get(main + k, ()) for k in range(-WINDOW, WINDOW + 1))))
+
     def _slots(self, item: int, by_hash: dict, at: np.ndarray, words: list[str]) -> tuple[int, float, bool]:
         """Slots along the matches, on the diagonal with most windows and those beside it."""
         pairs = [pair for found in by_hash.values() for pair in found]
