@@ -1,27 +1,33 @@
 """Near-duplicate groups by a chosen-path set similarity join.
 
 A document is the set of its five-word shingles. Documents with equal sets are one
-class, and only one of each class goes on. Classes walk down independent random trees: at
-each level a node splits by the minwise token of the next random function, so sets
-of similarity s stay together with probability s. Nodes of one class end. Nodes of at
-most ``SMALL`` classes are leaves. A node that is still larger at the end of its path
-branches: each of its classes follows several further paths below it. What is large even
-then is compared in blocks, all of it, so there is no cap on partners.
+class, numbered by its row in a written table, and only classes go on. They walk down
+independent random trees: at each level a node splits by the minwise token of the next random
+function, so sets of similarity s stay together with probability s. Nodes of one class end.
+Nodes of at most ``SMALL`` classes are leaves. A node that is still larger at the end of
+its path is crowded, and is recursed into.
+
+Comparing has two steps. First each class of a node meets the node's pivot, its smallest
+class, which links most groups of copies with as many comparisons as members. Then leaves
+compare all pairs that are in different components so far. Sketches of 256 bits differ in 19
+bits on average at similarity 0.85, with a standard deviation of 4, in 26 at 0.80, with one of
+5; pairs that differ in more than ``sketch_bits``, 5 deviations off, are ruled out before
+their sets are read. Every link is confirmed on full sets. Components come from
+alternating large-star and small-star steps on the links.
+
+A crowded node whose classes are all in one component by then is done. The classes of the
+others branch: each follows several further paths, by tokens drawn from its full set, into
+smaller nodes, which are compared in the same way; and so on for ``rounds`` rounds. A node
+that is large and of several components even then is compared in blocks: the classes outside
+its main component meet all others. So there is no cap on partners, and rows grow with a
+group's size, unless most of it stays unlinked at each of these steps.
 
 A link takes the similarity of the ``Settings``: 0.85 in op7 (``CONTRACT``), 0.80 in the
-pipeline (``STAGE``). With ten trees of depth 3 a pair of similarity 0.85 shares a leaf with
-probability 1 - (1 - 0.85^3)^10 = 0.9999, more similar pairs more surely; below a large node,
-four paths of depth 3 each keep 0.978, over the trees 0.9997 or more. At 0.80 the trees and
-paths have depth 2: 1 - (1 - 0.80^2)^10 = 0.9999, and four paths of depth 2 keep 0.983, over
-the trees 0.9998.
-
-Comparing has two rounds. First each class of a leaf meets the leaf's smallest id, which
-links most groups of copies with as many comparisons as members. Then small leaves
-compare all pairs that are in different components so far, and large leaves all blocks.
-Sketches of 256 bits differ in 19 bits on average at similarity 0.85, with a standard
-deviation of 4, in 26 at 0.80, with one of 5; pairs that differ in more than ``sketch_bits``, 5
-deviations off, are ruled out before their sets are read. Every link is confirmed on full sets. Components come from
-alternating large-star and small-star steps on the links.
+pipeline (``STAGE``). With ten trees of depth 3 a pair of similarity 0.85 shares a node with
+probability 1 - (1 - 0.85^3)^10 = 0.9999, more similar pairs more surely; below a crowded
+node, four paths of depth 3 each keep 0.978, three rounds of them 0.93, over the trees 0.9997
+or more. At 0.80 the trees and paths have depth 2: 1 - (1 - 0.80^2)^10 = 0.9999, and four
+paths of depth 2 keep 0.983, three rounds 0.95, over the trees 0.9998.
 """
 
 from __future__ import annotations
@@ -54,15 +60,12 @@ class Settings(NamedTuple):
     depth: int
     branches: int
     families: int
+    rounds: int
     sketch_bits: int
 
-    @property
-    def functions(self) -> int:
-        return (self.trees + self.families * self.branches) * self.depth
 
-
-CONTRACT = Settings(PERCENT, trees=10, depth=3, branches=4, families=3, sketch_bits=40)
-STAGE = Settings(80, trees=10, depth=2, branches=4, families=3, sketch_bits=50)
+CONTRACT = Settings(PERCENT, trees=10, depth=3, branches=4, families=3, rounds=3, sketch_bits=40)
+STAGE = Settings(80, trees=10, depth=2, branches=4, families=3, rounds=3, sketch_bits=50)
 
 
 class _Words(dict):
@@ -92,27 +95,32 @@ def shingles(text: str, words: _Words, size: int = SHINGLE) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(29)))
 
 
-def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20240607)
+def _functions(n: int, draw: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20240607 + draw)
     return rng.integers(0, 1 << 31, n).astype(np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
-def signature(found: np.ndarray, functions: int) -> tuple[np.ndarray, bytes]:
-    """Minwise tokens by all functions, and a sketch of one bit for each of 256 bins."""
+def minwise(found: np.ndarray, functions: int, draw: int = 0) -> np.ndarray:
+    """Minwise tokens of a set by all functions of a draw."""
     small = (found >> np.uint64(32)).astype(np.uint32)
-    a, b = _functions(functions)
+    a, b = _functions(functions, draw)
     tokens = np.full(len(a), 0xFFFFFFFF, np.uint32)
     for start in range(0, len(small), 4096):
         np.minimum(tokens, (small[None, start : start + 4096] * a[:, None] + b[:, None]).min(axis=1), out=tokens)
+    return tokens.view(np.int32)
+
+
+def sketch(found: np.ndarray) -> np.ndarray:
+    """One bit for each of 256 bins of a set, as four numbers."""
     low = np.sort((found & np.uint64(0xFFFFFFFF)).astype(np.uint32))
     bins, first = np.unique(low >> np.uint32(24), return_index=True)
     bits = np.zeros(256, np.uint8)
     least = low[first] & np.uint32(0xFFFFFF)
     bits[bins] = ((least * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
-    return tokens.view(np.int32), np.packbits(bits).tobytes()
+    return np.frombuffer(np.packbits(bits).tobytes(), np.int64)
 
 
-_SIGNED = "doc_id bigint, n_shingles bigint, set_id binary, tokens array<int>, sketch array<bigint>"
+_SIGNED = "doc_id bigint, text_key bigint, n_shingles bigint, set_id binary, tokens array<int>, sketch array<bigint>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch], functions: int) -> Iterator[pa.RecordBatch]:
@@ -120,7 +128,7 @@ def _sign(batches: Iterator[pa.RecordBatch], functions: int) -> Iterator[pa.Reco
 
     words = _Words()
     for batch in batches:
-        ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+        texts = batch.column("text").to_pylist()
         start = size = 0
         for i, t in enumerate(texts):
             size += len(t or "")
@@ -130,13 +138,13 @@ def _sign(batches: Iterator[pa.RecordBatch], functions: int) -> Iterator[pa.Reco
             for text in texts[start : i + 1]:
                 found = shingles(text or "", words)
                 if len(found):
-                    tokens, sketch = signature(found, functions)
-                    rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), tokens, np.frombuffer(sketch, np.int64)))
+                    rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), minwise(found, functions), sketch(found)))
                 else:
                     rows.append((0, None, None, None))
-            n, key, tokens, sketch = zip(*rows, strict=True)
-            made = [pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(tokens, pa.list_(pa.int32())), pa.array(sketch, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([ids.slice(start, i + 1 - start), *made], names=["doc_id", "n_shingles", "set_id", "tokens", "sketch"])
+            n, key, tokens, bits = zip(*rows, strict=True)
+            made = [pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(tokens, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))]
+            ids = [batch.column(c).slice(start, i + 1 - start) for c in ("doc_id", "text_key")]
+            yield pa.RecordBatch.from_arrays([*ids, *made], names=["doc_id", "text_key", "n_shingles", "set_id", "tokens", "sketch"])
             start, size = i + 1, 0
 
 
@@ -144,7 +152,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = _Words()
     for batch in batches:
         blobs = [shingles(t or "", words).tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.large_binary())], names=["rep", "set"])
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(blobs, pa.large_binary())], names=["cls", "set"])
+
+
+def _drawn(batches: Iterator[pa.RecordBatch], functions: int, draw: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tokens = [minwise(np.frombuffer(x, np.uint64), functions, draw) for x in batch.column("set").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(tokens, pa.list_(pa.int32()))], names=["cls", "tokens"])
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -168,14 +182,18 @@ def _alike(x: str, y: str, settings: Settings) -> Column:
     return sizes & (differ <= settings.sketch_bits)
 
 
-def _with_parts(rows: DataFrame, by_key: DataFrame, key: str, rep: str) -> DataFrame:
+def _with_parts(rows: DataFrame, by_key: DataFrame, key: str, member: str) -> DataFrame:
     """Join a row for each key to its members, which are dealt out over SALTS parts, as one key may hold most."""
     parts = by_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(rep), F.lit(SALTS)).cast("int")).join(parts, [key, "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(member), F.lit(SALTS)).cast("int")).join(parts, [key, "_salt"]).drop("_salt")
 
 
-def _with_node(rows: DataFrame, by_node: DataFrame, rep: str) -> DataFrame:
-    return _with_parts(rows, by_node, "node", rep)
+def _paths(first: int, settings: Settings, n: Column | int, offset: Column | int) -> Column:
+    """n paths of tokens: (number, path), cut from the column tokens."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)),
+        lambda k: F.struct(k.alias("number"), F.slice("tokens", (offset + k) * settings.depth + first, F.lit(settings.depth)).alias("path")),
+    )
 
 
 class _Join:
@@ -183,52 +201,66 @@ class _Join:
 
     def __init__(self, documents: DataFrame, settings: Settings):
         self.settings = settings
-        self.documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+        key = F.xxhash64(F.coalesce("text", F.lit("")))
+        self.documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("text_key"), "text")
         self.spark = documents.sparkSession
         self.scratch = Scratch(self.spark, "near")
 
-    def leaves(self, classes: DataFrame) -> DataFrame:
-        """(node, rep, pivot, size) for the classes of each node that is not split further; size of large ones only."""
-        _, n_trees, depth, branches, families, _ = self.settings
-        trees = F.transform(
-            F.sequence(F.lit(0), F.lit(n_trees - 1)),
-            lambda t: F.struct(t.alias("tree"), F.slice("tokens", t * depth + 1, F.lit(depth)).alias("path")),
-        )
-        rows = classes.select("rep", F.explode(trees).alias("t")).select(F.xxhash64("t.tree").alias("node"), "rep", "t.tree", "t.path")
-        found, large = self._descend(rows, "first")
-        paths = F.transform(
-            F.sequence(F.lit(0), F.lit(branches - 1)),
-            lambda k: F.struct(
-                k.alias("branch"),
-                F.slice("tokens", n_trees * depth + ((F.col("tree") % families) * branches + k) * depth + 1, F.lit(depth)).alias("path"),
-            ),
-        )
-        below = large.select("node", "rep", "tree").join(classes.select("rep", "tokens"), "rep")
-        below = below.select("node", "rep", "tree", F.explode(paths).alias("b"))
-        below = below.select(F.xxhash64("node", "b.branch").alias("node"), "rep", "tree", "b.path")
-        more, rest = self._descend(below, "second")
-        ended = reduce(DataFrame.unionByName, [*found, *more]).withColumn("size", F.lit(None).cast("bigint"))
-        return ended.unionByName(rest.select("node", "rep", "pivot", "size"))
-
-    def _descend(self, rows: DataFrame, label: str) -> tuple[list[DataFrame], DataFrame]:
+    def descend(self, rows: DataFrame, label: str) -> tuple[list[DataFrame], DataFrame]:
+        """Walk down (node, cls, tree, path): leaves (node, cls, pivot), and crowded nodes with tree and size."""
         small = []
         for level in range(self.settings.depth):
-            rows = rows.select(F.xxhash64("node", F.col("path")[level]).alias("node"), "rep", "tree", "path")
-            sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
-            rows = self.scratch.write(_with_node(rows, sizes, "rep"), f"{label}-{level}")
-            small.append(rows.where(F.col("size") <= SMALL).select("node", "rep", "pivot"))
+            rows = rows.select(F.xxhash64("node", F.col("path")[level]).alias("node"), "cls", "tree", "path")
+            sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("cls").alias("pivot")).where("size > 1")
+            rows = self.scratch.write(_with_parts(rows, sizes, "node", "cls"), f"{label}-{level}")
+            small.append(rows.where(F.col("size") <= SMALL).select("node", "cls", "pivot"))
             rows = rows.where(F.col("size") > SMALL)
-        return small, rows
-
-    def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        first, second = (sets.select(F.col("rep").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
-        return pairs.join(first, "a").join(second, "b").mapInArrow(partial(_confirm, percent=self.settings.percent), "a bigint, b bigint")
+        return small, rows.select("node", "cls", "pivot", "tree", "size")
+
+    def candidates(self, small: list[DataFrame], crowded: DataFrame, nodes: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+        """Pairs (a, b) with pivots, and those within leaves, that sizes and sketches allow."""
+        ended = [x.withColumn("leaf", F.lit(True)) for x in small]
+        leaves = reduce(DataFrame.unionByName, [*ended, crowded.select("node", "cls", "pivot", F.lit(False).alias("leaf"))]).join(nodes, "cls")
+        leaves = self.scratch.write(leaves.select("node", "leaf", "pivot", F.struct("cls", "n", "sketch").alias("m")), f"{label}-leaves")
+        members = leaves.where(F.col("m.cls") != F.col("pivot")).select("pivot", "m").distinct()
+        pivots = nodes.join(leaves.select(F.col("pivot").alias("cls")).distinct(), "cls", "left_semi")
+        pivots = pivots.select(F.col("cls").alias("pivot"), F.struct("cls", "n", "sketch").alias("p"))
+        stars = _with_parts(members, pivots, "pivot", "m.cls").where(_alike("m", "p", self.settings))
+        stars = self.scratch.write(stars.select(F.col("p.cls").alias("a"), F.col("m.cls").alias("b")), f"{label}-stars")
+        groups = leaves.where("leaf").groupBy("node").agg(F.sort_array(F.collect_list("m")).alias("all")).where(F.size("all") > 2)
+        pairs = groups.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("y"))
+        pairs = pairs.where(_alike("x", "y", self.settings)).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+        pairs = self.scratch.write(pairs.join(stars, ["a", "b"], "left_anti"), f"{label}-pairs")
+        self.scratch.drop(f"{label}-leaves")
+        return stars, pairs
+
+    def apart(self, pairs: DataFrame, found: DataFrame | None) -> DataFrame:
+        """The pairs that are in different components so far."""
+        if found is None:
+            return pairs
+        roots = [found.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b")]
+        rows = pairs.join(roots[0], "a", "left").join(roots[1], "b", "left")
+        return rows.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+    def link(self, pairs: DataFrame, found: DataFrame | None, sets: DataFrame, label: str) -> DataFrame:
+        """Components (id, root) with the links among pairs, each confirmed on the sets."""
+        first, second = (sets.select(F.col("cls").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
+        rows = self.apart(pairs, found).join(first, "a").join(second, "b")
+        return self.extended(rows.mapInArrow(partial(_confirm, percent=self.settings.percent), "a bigint, b bigint"), found, label)
+
+    def extended(self, links: DataFrame, found: DataFrame | None, label: str) -> DataFrame:
+        links = self.scratch.write(links, f"{label}-links")
+        if found is None:
+            return self.components(links, label)
+        if links.isEmpty():
+            return found
+        return self.components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(links), label)
 
     def components(self, links: DataFrame, label: str) -> DataFrame:
         """(id, root) for each id with a link, root being the smallest id that it reaches."""
         star = self.scratch.write(links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x > y").distinct(), f"{label}-0")
-        step, state = 0, None
-        while True:
+        step = 0
+        while not self._stars_only(star):
             step += 1
             for large in (True, False):
                 both = star.unionByName(star.select(F.col("y").alias("x"), F.col("x").alias("y"))) if large else star
@@ -240,71 +272,87 @@ class _Join:
                     made = moved.select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(least.select("x", F.col("m").alias("y")))
                 star = made.where("x > y").distinct()
             star = self.scratch.write(star, f"{label}-{step}")
-            new = star.agg(F.count("*").alias("n"), F.sum(F.xxhash64("x", "y") % 1_000_000_007).alias("s")).first()
             self.scratch.drop(f"{label}-{step - 1}")
-            if new == state:
-                break
-            state = new
         roots = star.select(F.col("y").alias("id")).distinct().select("id", F.col("id").alias("root"))
-        return star.select(F.col("x").alias("id"), F.col("y").alias("root")).unionByName(roots)
+        return self.scratch.write(star.select(F.col("x").alias("id"), F.col("y").alias("root")).unionByName(roots), f"{label}-found")
+
+    @staticmethod
+    def _stars_only(star: DataFrame) -> bool:
+        """Whether each x has one y, and no y is an x: then the y are the roots."""
+        ends = star.select(F.col("x").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = ends.unionByName(star.select(F.col("y").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return ends.where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+    def mixed(self, crowded: DataFrame, found: DataFrame, label: str) -> DataFrame:
+        """The rows of crowded nodes that hold several components, with root."""
+        rows = crowded.join(found.select(F.col("id").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        several = rows.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("node")
+        return self.scratch.write(_with_parts(rows, several, "node", "cls"), f"{label}-mixed")
 
     def run(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Signed documents, classes (set_id, rep), and components of classes (id, root)."""
-        signed = self.scratch.write(self.documents.mapInArrow(partial(_sign, functions=self.settings.functions), _SIGNED), "signed")
+        """Signed documents, classes (set_id, cls, first doc_id), and components of classes (id, root)."""
+        _, n_trees, depth, branches, families, rounds, _ = self.settings
+        signed = self.scratch.write(self.documents.mapInArrow(partial(_sign, functions=n_trees * depth), _SIGNED), "signed")
         usable = signed.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
         classes = usable.groupBy("set_id").agg(
-            F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("tokens").alias("tokens"), F.any_value("sketch").alias("sketch")
+            F.min(F.struct("doc_id", "text_key")).alias("first"), F.any_value("n_shingles").alias("n"), F.any_value("tokens").alias("tokens"), F.any_value("sketch").alias("sketch")
         )
-        classes = self.scratch.write(classes, "classes")
-        # texts that differ under one doc_id cannot be told apart by it, so they do not go on
-        doubled = classes.groupBy("rep").agg(F.count("*").alias("k")).where("k > 1").select("rep")
-        nodes = classes.join(doubled, "rep", "left_anti")
-        leaves = self.leaves(nodes).join(nodes.select("rep", "n", "sketch"), "rep")
-        leaves = self.scratch.write(leaves.select("node", "size", "pivot", F.struct("rep", "n", "sketch").alias("m")), "leaves")
-
-        members = leaves.where(F.col("m.rep") != F.col("pivot")).select("pivot", "m").distinct()
-        pivots = nodes.join(leaves.select(F.col("pivot").alias("rep")).distinct(), "rep", "left_semi")
-        pivots = pivots.select(F.col("rep").alias("pivot"), F.struct("rep", "n", "sketch").alias("p"))
-        stars = _with_parts(members, pivots, "pivot", "m.rep").where(_alike("m", "p", self.settings))
-        stars = self.scratch.write(stars.select(F.col("p.rep").alias("a"), F.col("m.rep").alias("b")), "stars")
-        groups = leaves.where("size IS NULL").groupBy("node").agg(F.sort_array(F.collect_list("m")).alias("all")).where(F.size("all") > 2)
-        pairs = groups.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("y"))
-        pairs = pairs.where(_alike("x", "y", self.settings)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-        pairs = self.scratch.write(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
-
-        crowded = leaves.where("size IS NOT NULL").select("node", "size", "m")
-        needed = reduce(DataFrame.unionByName, [x.select(F.col(c).alias("doc_id")) for x in (stars, pairs) for c in ("a", "b")])
-        needed = needed.unionByName(crowded.select(F.col("m.rep").alias("doc_id"))).distinct()
-        sets = self.documents.join(needed, "doc_id", "left_semi").mapInArrow(_sets, "rep bigint, set binary").dropDuplicates(["rep"])
-        sets = self.scratch.write(sets, "sets")
-
-        links = self.scratch.write(self.confirmed(stars, sets), "links-1")
-        found = self.components(links, "round-1")
-        found = self.scratch.write(found, "found")
-        roots = [found.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b")]
-        open_pairs = pairs.join(roots[0], "a", "left").join(roots[1], "b", "left")
-        open_pairs = open_pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-        more = self.confirmed(open_pairs, sets).unionByName(self._blocks(crowded, found, sets))
-        more = self.scratch.write(more, "links-2")
-        kept = found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
-        return signed, classes, self.components(kept.unionByName(more), "round-2")
-
-    def _blocks(self, crowded: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links between all pairs of large leaves, in blocks; of each two blocks a spanning forest."""
-        rows = crowded.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).join(found.withColumnRenamed("id", "rep"), F.col("m.rep") == F.col("rep"), "left")
-        rows = rows.withColumn("root", F.coalesce("root", "m.rep")).withColumn("own", F.pmod(F.xxhash64("m.rep"), F.col("blocks")).cast("int"))
-        rows = rows.select("node", F.col("m.rep").alias("rep"), "m.sketch", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        rows = rows.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).drop("other")
+        # written, so that the numbers stay whatever is computed again
+        classes = self.scratch.write(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+        nodes = classes.select("cls", "n", "sketch")
+        rows = classes.select("cls", F.explode(_paths(1, self.settings, n_trees, 0)).alias("t"))
+        rows = rows.select(F.xxhash64("t.number").alias("node"), "cls", F.col("t.number").alias("tree"), "t.path")
+        small, crowded = self.descend(rows, "trees")
+        stars, pairs = self.candidates(small, crowded, nodes, "trees")
+
+        ids = [x.select(F.col(c).alias("cls")) for x in (stars, pairs) for c in ("a", "b")]
+        needed = reduce(DataFrame.unionByName, [*ids, crowded.select("cls")]).distinct().join(classes.select("cls", "first.*"), "cls")
+        sets = self.documents.join(needed, ["doc_id", "text_key"]).select("cls", "text").mapInArrow(_sets, "cls bigint, set binary")
+        sets = self.scratch.write(sets.dropDuplicates(["cls"]), "sets")  # rows may repeat
+
+        found = self.link(stars, None, sets, "trees-stars")
+        found = self.link(pairs, found, sets, "trees-pairs")
+        crowded = self.mixed(crowded, found, "trees")
+        for k in range(1, rounds + 1):
+            if crowded.isEmpty():
+                return signed, classes, found
+            drawn = partial(_drawn, functions=families * branches * depth, draw=k)
+            tokens = sets.join(crowded.select("cls").distinct(), "cls").mapInArrow(drawn, "cls bigint, tokens array<int>")
+            rows = crowded.select("node", "cls", "tree").join(tokens, "cls")
+            rows = rows.select("node", "cls", "tree", F.explode(_paths(1, self.settings, branches, (F.col("tree") % families) * branches)).alias("b"))
+            rows = rows.select(F.xxhash64("node", "b.number").alias("node"), "cls", "tree", "b.path")
+            small, crowded = self.descend(rows, f"round-{k}")
+            stars, pairs = self.candidates(small, crowded, nodes, f"round-{k}")
+            found = self.link(stars, found, sets, f"round-{k}-stars")
+            found = self.link(pairs, found, sets, f"round-{k}-pairs")
+            crowded = self.mixed(crowded, found, f"round-{k}")
+        if not crowded.isEmpty():
+            found = self.extended(self._blocks(crowded, nodes, sets), found, "blocks")
+        return signed, classes, found
+
+    def _blocks(self, crowded: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links of the classes outside the main component of each node with all of it, in blocks; of each two blocks a spanning forest."""
+        counts = crowded.groupBy("node", "root").agg(F.count("*").alias("k"))
+        main = counts.groupBy("node").agg(F.sum("k").alias("size"), F.max(F.struct("k", "root")).alias("main"))
+        main = main.select("node", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("main.k")) / BLOCK).cast("int").alias("others"), F.col("main.root").alias("main"))
+        rows = _with_parts(crowded.select("node", "cls", "root"), main, "node", "cls").join(nodes.select("cls", "sketch"), "cls")
+        slot = lambda of: F.pmod(F.xxhash64("cls"), F.col(of)).cast("int")
+        all_of = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+        columns = ["node", "cls", "root", "sketch"]
+        own = rows.select(*columns, F.lit(False).alias("asks"), slot("blocks").alias("i"), F.explode(all_of("others")).alias("j"))
+        asking = rows.where("root <> main").select(*columns, F.lit(True).alias("asks"), slot("others").alias("j"), F.explode(all_of("blocks")).alias("i"))
         settings = self.settings
 
         def compare(group: pa.Table) -> pa.Table:
             return _compare_blocks(group, settings)
 
-        return rows.join(sets, "rep").groupBy("node", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+        return own.unionByName(asking).join(sets, "cls").groupBy("node", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
 def _compare_blocks(group: pa.Table, settings: Settings) -> pa.Table:
-    reps, roots, own = (group.column(c).to_pylist() for c in ("rep", "root", "own"))
+    ids, roots = (group.column(c).to_pylist() for c in ("cls", "root"))
+    asks = np.array(group.column("asks").to_pylist(), bool)
     sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
     sketches = np.array(group.column("sketch").to_pylist(), np.int64)
     sizes = np.array([len(x) for x in sets])
@@ -316,44 +364,58 @@ def _compare_blocks(group: pa.Table, settings: Settings) -> pa.Table:
         return x
 
     links = []
-    within = len(set(own)) == 1
-    own_block = np.array(own)
-    for p in range(len(reps)):
+    for p in np.flatnonzero(asks):
         differ = np.bitwise_count(sketches ^ sketches[p]).sum(axis=1)
         fits = (differ <= settings.sketch_bits) & (100 * np.minimum(sizes, sizes[p]) >= settings.percent * np.maximum(sizes, sizes[p]))
-        fits &= (np.arange(len(reps)) > p) & (within | (own_block != own_block[p]))
-        for q in np.flatnonzero(fits):
+        for q in np.flatnonzero(fits & ~asks):
             x, y = root(roots[p]), root(roots[q])
             if x != y and similar(sets[p], sets[q], settings.percent):
                 above[x] = y
-                links.append((reps[p], reps[q]))
+                links.append((ids[p], ids[q]))
     a, b = zip(*links, strict=True) if links else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _grouped(documents: DataFrame, settings: Settings) -> DataFrame:
+    """(doc_id, text_key, n_shingles, set_id, component_id, root) of each row; root numbers the group."""
+    signed, classes, found = _Join(documents, settings).run()
+    known = classes.select("set_id", "cls", F.col("first.doc_id").alias("own")).join(found.withColumnRenamed("id", "cls"), "cls", "left")
+    linked = known.where("root IS NOT NULL")
+    least = linked.groupBy("root").agg(F.min("own").alias("least"))
+    linked = _with_parts(linked, least, "root", "cls").select("set_id", "root", "least")
+    known = linked.unionByName(known.where("root IS NULL").select("set_id", F.col("cls").alias("root"), F.col("own").alias("least")))
+    rows = signed.select("doc_id", "text_key", "n_shingles", "set_id").join(known, "set_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return rows.select("doc_id", "text_key", "n_shingles", "set_id", component.alias("component_id"), "root")
+
+
 def near_groups(documents: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, set_id) for each row with columns doc_id and text.
 
     component_id is the smallest doc_id in reach over links of at least settings.percent, the
     document itself included; kept is whether it is doc_id. A null or empty text, or one
     without words, has no shingle and links with nothing. A row without doc_id has a
-    null component and is kept. Repeated rows have equal results. Texts under a shared
-    doc_id are grouped by equal sets only. Other columns are ignored. Without documents
-    the result is empty.
+    null component and is kept. Repeated rows have equal results. Texts that differ under a
+    shared doc_id are documents of their own: the id does not link them. Other columns are
+    ignored. Without documents the result is empty.
     """
-    signed, classes, found = _Join(documents, settings).run()
-    known = classes.select("set_id", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    known = known.select("set_id", F.coalesce("root", "rep").alias("root"))
-    rows = signed.select("doc_id", "n_shingles", "set_id").join(known, "set_id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "set_id")
+    kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))
+    return _grouped(documents, settings).select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "set_id")
 
 
 def deduplicate(documents: DataFrame, settings: Settings = STAGE) -> DataFrame:
-    """The rows of documents that are kept, as they are; of rows equal in doc_id and text, one."""
-    kept = near_groups(documents, settings).where("kept").select("doc_id").distinct()
-    rows = documents.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"])
+    """One row of each group, as it is: that of the smallest doc_id, and of several texts under it that with the smallest hash.
+
+    Of rows equal in doc_id and text one stays. Rows without doc_id stay.
+    """
+    rows = _grouped(documents, settings).where("component_id = doc_id")
+    # a text without shingles is its own group
+    best = rows.groupBy("doc_id", F.coalesce("root", "text_key").alias("_root"), F.col("root").isNull().alias("_alone")).agg(F.min("text_key").alias("_key"))
+    best = best.select(F.col("doc_id").alias("_kept"), "_key").distinct()
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    known = documents.where("doc_id IS NOT NULL")
+    known = known.join(best, (known["doc_id"].cast("bigint") == best["_kept"]) & (key == best["_key"]), "left_semi")
+    return known.unionByName(documents.where("doc_id IS NULL")).dropDuplicates(["doc_id", "text"])
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
