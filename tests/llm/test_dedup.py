@@ -105,6 +105,7 @@ def test_groups_against_brute_force(spark):
 def test_large_leaves_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL", 6)
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "WIDE", 16)
     rows = near_rows(4, clouds=2, size=70)
     want, _ = brute_groups(rows)
     got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -122,6 +123,17 @@ def test_groups_special_cases(spark):
     assert near_dedup.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_texts_under_one_id_are_documents_of_their_own(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (2, a), (2, b), (3, b + " more")]
+    for order in (rows, rows[::-1], [rows[2], rows[0], rows[3], rows[1]]):
+        got = near_dedup.near_groups(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (2, 2), (3, 2)]
+    c = " ".join(f"c{i}" for i in range(60))
+    got = near_dedup.near_groups(spark.createDataFrame([(1, b), (1, c), (2, b + " more")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1)]
+
+
 def test_the_stage_links_from_eighty_percent(spark):
     """Two words changed in 104 leave 90 of 110 shingles, a similarity of 0.82."""
     texts = []
@@ -137,6 +149,7 @@ def test_the_stage_links_from_eighty_percent(spark):
 def test_the_stage_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL", 6)
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "WIDE", 16)
     rows = near_rows(6, clouds=3, size=70)
     words = near_dedup._Words()
     sets = {d: set(near_dedup.shingles(t, words).tolist()) for d, t in rows}

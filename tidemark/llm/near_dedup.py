@@ -16,18 +16,20 @@ their sets are read. Every link is confirmed on full sets. Components come from
 alternating large-star and small-star steps on the links.
 
 A crowded node whose classes are all in one component by then is done. The classes of the
-others branch: each follows several further paths, by tokens drawn from its full set, into
-smaller nodes, which are compared in the same way; and so on for ``rounds`` rounds. A node
-that is large and of several components even then is compared in blocks: the classes outside
-its main component meet all others. So there is no cap on partners, and rows grow with a
-group's size, unless most of it stays unlinked at each of these steps.
+others branch: each follows two further paths, by tokens drawn from its full set, into
+smaller nodes, which are compared in the same way; and so on for ``rounds`` rounds. Two paths
+keep a similar pair together more than once on average, and let the rows of a crowd that
+only shares a passage stay about as many as they were. A node that is large and of several
+components even then is compared by sketches in wide blocks, and the classes that have a
+partner there in blocks by their sets: those outside the main component meet all others. So
+there is no cap on partners, and rows grow with a group's size, unless most of it is
+similar to each other by sketches and yet unlinked at each of these steps.
 
 A link takes the similarity of the ``Settings``: 0.85 in op7 (``CONTRACT``), 0.80 in the
 pipeline (``STAGE``). With ten trees of depth 3 a pair of similarity 0.85 shares a node with
-probability 1 - (1 - 0.85^3)^10 = 0.9999, more similar pairs more surely; below a crowded
-node, four paths of depth 3 each keep 0.978, three rounds of them 0.93, over the trees 0.9997
-or more. At 0.80 the trees and paths have depth 2: 1 - (1 - 0.80^2)^10 = 0.9999, and four
-paths of depth 2 keep 0.983, three rounds 0.95, over the trees 0.9998.
+probability 1 - (1 - 0.85^3)^10 = 0.9999, more similar pairs more surely; if its nodes are
+crowded in all trees and rounds, with 0.997. At 0.80 there are twelve trees:
+1 - (1 - 0.80^3)^12 = 0.9998, and 0.979 if its nodes are crowded in all of them.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ from . import common
 from .common import Scratch
 
 SHINGLE, PERCENT = 5, 85
-SMALL, BLOCK = 48, 128
+SMALL, BLOCK, WIDE = 48, 128, 2048
 SALTS = 16
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _BATCH = 1 << 22
@@ -59,13 +61,12 @@ class Settings(NamedTuple):
     trees: int
     depth: int
     branches: int
-    families: int
     rounds: int
     sketch_bits: int
 
 
-CONTRACT = Settings(PERCENT, trees=10, depth=3, branches=4, families=3, rounds=3, sketch_bits=40)
-STAGE = Settings(80, trees=10, depth=2, branches=4, families=3, rounds=3, sketch_bits=50)
+CONTRACT = Settings(PERCENT, trees=10, depth=3, branches=2, rounds=3, sketch_bits=40)
+STAGE = Settings(80, trees=12, depth=3, branches=2, rounds=3, sketch_bits=50)
 
 
 class _Words(dict):
@@ -287,12 +288,13 @@ class _Join:
     def mixed(self, crowded: DataFrame, found: DataFrame, label: str) -> DataFrame:
         """The rows of crowded nodes that hold several components, with root."""
         rows = crowded.join(found.select(F.col("id").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        rows = self.scratch.write(rows, f"{label}-rooted")
         several = rows.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("node")
         return self.scratch.write(_with_parts(rows, several, "node", "cls"), f"{label}-mixed")
 
     def run(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Signed documents, classes (set_id, cls, first doc_id), and components of classes (id, root)."""
-        _, n_trees, depth, branches, families, rounds, _ = self.settings
+        _, n_trees, depth, branches, rounds, _ = self.settings
         signed = self.scratch.write(self.documents.mapInArrow(partial(_sign, functions=n_trees * depth), _SIGNED), "signed")
         usable = signed.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
         classes = usable.groupBy("set_id").agg(
@@ -317,10 +319,10 @@ class _Join:
         for k in range(1, rounds + 1):
             if crowded.isEmpty():
                 return signed, classes, found
-            drawn = partial(_drawn, functions=families * branches * depth, draw=k)
+            drawn = partial(_drawn, functions=n_trees * branches * depth, draw=k)
             tokens = sets.join(crowded.select("cls").distinct(), "cls").mapInArrow(drawn, "cls bigint, tokens array<int>")
             rows = crowded.select("node", "cls", "tree").join(tokens, "cls")
-            rows = rows.select("node", "cls", "tree", F.explode(_paths(1, self.settings, branches, (F.col("tree") % families) * branches)).alias("b"))
+            rows = rows.select("node", "cls", "tree", F.explode(_paths(1, self.settings, branches, F.col("tree") * branches)).alias("b"))
             rows = rows.select(F.xxhash64("node", "b.number").alias("node"), "cls", "tree", "b.path")
             small, crowded = self.descend(rows, f"round-{k}")
             stars, pairs = self.candidates(small, crowded, nodes, f"round-{k}")
@@ -331,8 +333,24 @@ class _Join:
             found = self.extended(self._blocks(crowded, nodes, sets), found, "blocks")
         return signed, classes, found
 
+    def _partnered(self, crowded: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The rows of crowded nodes whose sizes and sketches allow a link with another component of the node."""
+        parts = crowded.groupBy("node").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("parts"))
+        rows = _with_parts(crowded.select("node", "cls", "root"), parts, "node", "cls").join(nodes, "cls")
+        own = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
+        rows = rows.select("node", "cls", "root", "n", "sketch", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other")
+        settings = self.settings
+
+        def partners(group: pa.Table) -> pa.Table:
+            return _with_partner(group, settings)
+
+        allowed = rows.groupBy("node", "i", "j").applyInArrow(partners, "node bigint, cls bigint").distinct()
+        return self.scratch.write(crowded.join(allowed, ["node", "cls"], "left_semi"), "partnered")
+
     def _blocks(self, crowded: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
         """Links of the classes outside the main component of each node with all of it, in blocks; of each two blocks a spanning forest."""
+        crowded = self._partnered(crowded, nodes)
         counts = crowded.groupBy("node", "root").agg(F.count("*").alias("k"))
         main = counts.groupBy("node").agg(F.sum("k").alias("size"), F.max(F.struct("k", "root")).alias("main"))
         main = main.select("node", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("main.k")) / BLOCK).cast("int").alias("others"), F.col("main.root").alias("main"))
@@ -350,6 +368,19 @@ class _Join:
         return own.unionByName(asking).join(sets, "cls").groupBy("node", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
+def _with_partner(group: pa.Table, settings: Settings) -> pa.Table:
+    roots, sizes = (group.column(c).to_numpy() for c in ("root", "n"))
+    sketches = np.array(group.column("sketch").to_pylist(), np.int64)
+    partner = np.zeros(len(roots), bool)
+    for p in range(len(roots)):
+        differ = np.bitwise_count(sketches[p + 1 :] ^ sketches[p]).sum(axis=1)
+        fits = (differ <= settings.sketch_bits) & (roots[p + 1 :] != roots[p])
+        fits &= 100 * np.minimum(sizes[p + 1 :], sizes[p]) >= settings.percent * np.maximum(sizes[p + 1 :], sizes[p])
+        partner[p + 1 :] |= fits
+        partner[p] |= fits.any()
+    return group.select(["node", "cls"]).filter(pa.array(partner))
+
+
 def _compare_blocks(group: pa.Table, settings: Settings) -> pa.Table:
     ids, roots = (group.column(c).to_pylist() for c in ("cls", "root"))
     asks = np.array(group.column("asks").to_pylist(), bool)
