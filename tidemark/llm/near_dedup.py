@@ -15,13 +15,14 @@ bits on average at similarity 0.85, with a standard deviation of 4, in 26 at 0.8
 their sets are read. Every link is confirmed on full sets. Components come from
 alternating large-star and small-star steps on the links.
 
-A crowded node whose classes are all in one component by then is done. The classes of the
-others branch: each follows two further paths, by tokens drawn from its full set, into
+A crowded node whose classes are all in one component by then is done. Of the others, those
+of at most ``WIDE`` classes are small enough to be compared exhaustively, by sketches in one
+group. The classes of larger ones branch: each follows two further paths, by tokens drawn from its full set, into
 smaller nodes, which are compared in the same way; and so on for ``rounds`` rounds. Two paths
 keep a similar pair together more than once on average, and let the rows of a crowd that
-only shares a passage stay about as many as they were. A node that is large and of several
-components even then is compared by sketches in wide blocks, and the classes that have a
-partner there in blocks by their sets: those outside the main component meet all others. So
+only shares a passage stay about as many as they were. A node that is larger even
+then is compared by sketches in blocks of ``WIDE``. The classes that have a partner by
+sketches are compared in blocks by their sets: those outside the main component meet all others. So
 there is no cap on partners, and rows grow with a group's size, unless most of it is
 similar to each other by sketches and yet unlinked at each of these steps.
 
@@ -316,9 +317,11 @@ class _Join:
         found = self.link(stars, None, sets, "trees-stars")
         found = self.link(pairs, found, sets, "trees-pairs")
         crowded = self.mixed(crowded, found, "trees")
+        small_enough = F.col("size") <= WIDE
+        ended, crowded = [crowded.where(small_enough)], crowded.where(~small_enough)
         for k in range(1, rounds + 1):
             if crowded.isEmpty():
-                return signed, classes, found
+                break
             drawn = partial(_drawn, functions=n_trees * branches * depth, draw=k)
             tokens = sets.join(crowded.select("cls").distinct(), "cls").mapInArrow(drawn, "cls bigint, tokens array<int>")
             rows = crowded.select("node", "cls", "tree").join(tokens, "cls")
@@ -329,6 +332,12 @@ class _Join:
             found = self.link(stars, found, sets, f"round-{k}-stars")
             found = self.link(pairs, found, sets, f"round-{k}-pairs")
             crowded = self.mixed(crowded, found, f"round-{k}")
+            ended.append(crowded.where(small_enough))
+            crowded = crowded.where(~small_enough)
+        columns = ["node", "cls", "root"]
+        crowded = reduce(DataFrame.unionByName, [x.select(*columns) for x in (*ended, crowded)])
+        if len(ended) > 1:  # links were found since
+            crowded = self.mixed(crowded.select("node", "cls"), found, "rest")
         if not crowded.isEmpty():
             found = self.extended(self._blocks(crowded, nodes, sets), found, "blocks")
         return signed, classes, found
