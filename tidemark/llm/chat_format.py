@@ -62,19 +62,23 @@ def _tokens(part: Column, rule: Expansion) -> Column:
 
 
 def _visit(parts: Column, first: Column) -> Column:
-    """The flattened text of a turn; attachments are numbered from `first`."""
+    """The flattened text of a turn; attachments are numbered from `first`.
+
+    Texts side by side are escaped as one, so that no control string arises where they meet.
+    """
 
     def step(state: Column, part: Column) -> Column:
         kind = F.coalesce(part["type"], F.lit("text"))
         is_text = kind == "text"
         mark = F.concat(F.lit("<|"), F.translate(kind, "<|>&[\n", "______"), F.lit(":"), (first + state["n"]).cast("string"), F.lit("|>"))
         return F.struct(
-            F.concat(state["text"], F.when(is_text, escaped(F.coalesce(part["text"], F.lit("")))).otherwise(mark)).alias("text"),
+            F.when(is_text, state["text"]).otherwise(F.concat(state["text"], escaped(state["run"]), mark)).alias("text"),
+            F.when(is_text, F.concat(state["run"], F.coalesce(part["text"], F.lit("")))).otherwise("").alias("run"),
             (state["n"] + F.when(is_text, 0).otherwise(1)).cast("long").alias("n"),
         )
 
-    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("n"))
-    return F.aggregate(parts, start, step, lambda s: s["text"])
+    start = F.struct(F.lit("").alias("text"), F.lit("").alias("run"), F.lit(0).cast("long").alias("n"))
+    return F.aggregate(parts, start, step, lambda s: F.concat(s["text"], escaped(s["run"])))
 
 
 def format_conversations(turns: DataFrame, *, content: str = "content", trained_role: str = "assistant", rule: Expansion = Expansion()) -> DataFrame:
