@@ -63,8 +63,10 @@ URLS = [("https://a.example.com/de/1", "example.com/de/", "block"), ("http://x.O
 
 
 def test_rules_and_verdicts(spark):
-    frame = spark.createDataFrame([(i, u, "old") for i, (u, _, _) in enumerate(URLS)] + [(0, URLS[0][0], "old")], "page_id long, url string, verdict string")
+    rows = [(i, u, "old", i, i) for i, (u, _, _) in enumerate(URLS)] + [(0, URLS[0][0], "old", 0, 0)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, verdict string, _meta long, _host long")
     out = url_filter.judge(frame).collect()
+    assert all(r._meta == r._host == r.page_id for r in out)
     assert len(out) == len(URLS) + 1
     weights = url_filter.train(tuple(url_filter.labelled_urls()))
     for r in out:

@@ -165,15 +165,20 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled:
     weights = train(tuple(labelled if labelled is not None else labelled_urls()))
     added = ("host", "path", "rule", "score", "verdict")
     address = F.col(url)
-    out = pages.select(*(c for c in pages.columns if c not in added or c == url), host_column(address).alias("_host"), path_column(address).alias("_path"))
-    out = out.withColumn("_rule", rule_column(F.col("_host"), F.col("_path"), rules))
-    out = out.withColumn("_score", score_column(F.concat("_host", "_path"), weights))
+    mark = "_"
+    while any(c.startswith(mark) for c in pages.columns):
+        mark += "_"
+    host, path, rule, score = (F.col(f"{mark}{c}") for c in added[:4])
+    out = pages.withColumns({f"{mark}host": host_column(address), f"{mark}path": path_column(address)})
+    out = out.withColumn(f"{mark}rule", rule_column(host, path, rules))
+    out = out.withColumn(f"{mark}score", score_column(F.concat(host, path), weights))
     actions = F.lit(None).cast("string")
-    for action, rule in rules:
-        actions = F.when(F.col("_rule") == rule, F.lit(action)).otherwise(actions)
-    verdict = F.coalesce(actions, F.when(F.col("_score") > 0, F.lit("block")).otherwise(F.lit("allow")))
-    kept = [c for c in out.columns if not c.startswith("_") and c not in added]
-    return out.select(*kept, *(F.col(f"_{c}").alias(c) for c in ("host", "path", "rule", "score")), verdict.alias("verdict"))
+    for action, name in rules:
+        actions = F.when(rule == name, F.lit(action)).otherwise(actions)
+    verdict = F.coalesce(actions, F.when(score > 0, F.lit("block")).otherwise(F.lit("allow")))
+    kept = [c for c in pages.columns if c not in added]
+    return out.select(*kept, *(F.col(f"{mark}{c}").alias(c) for c in added[:4]), verdict.alias("verdict"))
+
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
