@@ -10,13 +10,16 @@ line itself stays does not matter, so the result does not depend on the order of
    so one of them has floor(m / 2). Only lines that share such a half, cut down to a
    multiple of four, go on. No pair is lost by this.
 3. These emit their deletion neighbourhood as hashed keys: the line itself, and the line
-   without the i-th character, for each i in the half that may differ.
+   without the i-th character, for each i in the half that may differ. The key of a text is the
+   XOR of a hash of each character with its place, so that the keys of all variants
+   follow from running sums, and the work grows in proportion to the line.
 4. Equal keys join. Two lines that become equal without their i-th character differ by a
    substitution there; a line that equals another one without a character differs by
    an insertion. So for each key and i only the earliest line matters, which a
    partial aggregation finds: no group is collected and no pairs are listed, however
    many lines share a key.
-5. The edit distance of each found partner is verified on the texts.
+5. Each found partner is verified on the texts: equal without the character at the place found, or
+   the longer one without it equal to the other.
 
 Lines of fewer than ``MIN_CHARS`` characters tell nothing and stay.
 """
@@ -31,6 +34,8 @@ from .common import Scratch
 
 MIN_CHARS = 20
 STEP = 4
+#: Characters of a part of a line, and of a piece of a part, over which running sums are taken.
+PART, PIECE = 2048, 32
 #: Candidate lines up to this number are broadcast (48 bytes each); more are joined by a shuffle.
 BROADCAST_LINES = 200_000
 _PLACE = ["doc_id", "line_no", "digest"]
@@ -95,6 +100,80 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     return hits.where(gone).select("doc_id", "digest", "line_no")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _xor(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+
+
+def _variants(found: DataFrame) -> DataFrame:
+    """(key, at, h1, h2): the key of each line (at -1) and of the line without character `at`.
+
+    With a(k) the hash of character k at its place and b(k) that at the place before,
+    the line without character i has the key XOR of a(k) for k < i and of b(k) for k > i. That is
+    the XOR of all b, of a(k) and b(k) for all k < i, and of b(i).
+    """
+    size = F.col("size")
+    # without a shared last part, the first floor(m / 2) characters are equal, and the other way round
+    begin = F.when(F.col("same_last"), F.lit(0)).otherwise(F.floor((size - 1) / 2).cast("int"))
+    end = F.least(F.when(F.col("same_first"), size - 1).otherwise(F.ceil((size + 1) / 2).cast("int")), size - 1)
+
+    def part(text: Column, number: Column) -> Column:
+        def sums(chars: Column) -> Column:
+            a = F.transform(chars, lambda c, k: F.xxhash64(number * PART + k, c))
+            b = F.transform(chars, lambda c, k: F.xxhash64(number * PART + k - 1, c))
+            return F.struct(a.alias("a"), b.alias("b"))
+
+        return _let(
+            _let(F.split(text, ""), sums),
+            lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), _xor(s["a"]).alias("all_a"), _xor(s["b"]).alias("all_b")),
+        )
+
+    def sums_of(parts: Column) -> Column:
+        """The own key of the line, and of each part its b, its a XOR b, and the XOR of what lies before it with all b."""
+        total = F.aggregate(parts, F.lit(0).cast("long"), lambda x, p: x.bitwiseXOR(p["all_b"]))
+        own = F.aggregate(parts, F.lit(0).cast("long"), lambda x, p: x.bitwiseXOR(p["all_a"]))
+
+        def placed(total: Column) -> Column:
+            def row(p: Column, i: Column) -> Column:
+                before = F.aggregate(F.slice(parts, F.lit(1), i), total, lambda x, q: x.bitwiseXOR(q["all_a"]).bitwiseXOR(q["all_b"]))
+                both = F.zip_with(p["a"], p["b"], lambda x, y: x.bitwiseXOR(y))
+                return F.struct((i * PART).alias("start"), before.alias("before"), both.alias("both"), p["b"].alias("b"), F.when(i == 0, own).alias("own"))
+
+            return F.transform(parts, row)
+
+        return _let(total, placed)
+
+    parts = F.transform(F.regexp_extract_all("line", F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)), part)
+    rows = found.select("h1", "h2", begin.alias("begin"), end.alias("end"), F.explode(_let(parts, sums_of)).alias("p"))
+
+    def running(both: Column, before: Column) -> Column:
+        """For each character the XOR of before with `both` of all earlier characters of the part."""
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(both) - 1) / PIECE).cast("int")), lambda q: F.slice(both, q * PIECE + 1, F.lit(PIECE)))
+
+        def scanned(pieces: Column, whole: Column) -> Column:
+            def scan(piece: Column, q: Column) -> Column:
+                start = F.aggregate(F.slice(whole, F.lit(1), q), before, lambda x, y: x.bitwiseXOR(y))
+                sums = F.aggregate(piece, F.array(start), lambda x, y: F.concat(x, F.array(F.element_at(x, -1).bitwiseXOR(y))))
+                return F.slice(sums, F.lit(1), F.size(piece))
+
+            return F.flatten(F.transform(pieces, scan))
+
+        return _let(pieces, lambda ps: _let(F.transform(ps, _xor), lambda whole: scanned(ps, whole)))
+
+    p = F.col("p")
+    low, high = F.greatest(F.col("begin") - p["start"], F.lit(0)), F.least(F.col("end") - p["start"], F.size(p["b"]) - 1)
+    keys = F.zip_with(running(p["both"], p["before"]), p["b"], lambda x, y: x.bitwiseXOR(y))
+    keys = F.transform(keys, lambda key, k: F.struct(key.alias("key"), (p["start"] + k).alias("at")))
+    none = F.array().cast("array<struct<key:bigint,at:int>>")
+    without = F.when(high >= low, F.slice(keys, low + 1, high - low + 1)).otherwise(none)
+    whole = F.when(p["own"].isNull(), none).otherwise(F.array(F.struct(p["own"].alias("key"), F.lit(-1).alias("at"))))
+    return rows.select("h1", "h2", F.explode(F.concat(whole, without)).alias("v")).select("v.key", "v.at", "h1", "h2")
+
+
 def _near(documents: DataFrame, candidates: DataFrame, scratch: Scratch) -> DataFrame:
     """h1, h2 and first of the distinct lines that have an earlier line one edit away."""
     wanted = common.broadcast_if_small(candidates, BROADCAST_LINES)
@@ -102,16 +181,7 @@ def _near(documents: DataFrame, candidates: DataFrame, scratch: Scratch) -> Data
     found = rows.groupBy("h1", "h2", "size", "same_first", "same_last").agg(F.min(F.struct(*_PLACE)).alias("first"), F.any_value("line").alias("line"))
     found = scratch.write(found, "candidate_lines")
 
-    line, size = F.col("line"), F.col("size")
-    # without a shared last part, the first floor(m / 2) characters are equal, and the other way round
-    begin = F.when(F.col("same_last"), F.lit(0)).otherwise(F.floor((size - 1) / 2).cast("int"))
-    end = F.when(F.col("same_first"), size - 1).otherwise(F.ceil((size + 1) / 2).cast("int"))
-    without = F.transform(
-        F.sequence(begin, F.least(end, size - 1)),
-        lambda i: F.struct(F.xxhash64(F.concat(F.substring(line, F.lit(1), i), F.substring(line, i + 2, size))).alias("key"), i.alias("at")),
-    )
-    whole = F.array(F.struct(F.xxhash64(line).alias("key"), F.lit(-1).alias("at")))
-    variants = found.select("h1", "h2", F.explode(F.concat(whole, without)).alias("v")).select("v.key", "v.at", "h1", "h2")
+    variants = _variants(found)
     shared = variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     lines = found.select("h1", "h2", F.struct("first", "h1", "h2").alias("line"))
     variants = scratch.write(variants.join(shared, "key").join(lines, ["h1", "h2"]).select("key", "at", "line"), "variants")
@@ -120,19 +190,31 @@ def _near(documents: DataFrame, candidates: DataFrame, scratch: Scratch) -> Data
     by_place = variants.groupBy("key", "at").agg(F.min("line").alias("earliest"), F.count("*").alias("n"))
     by_key = by_place.groupBy("key").agg(
         F.max(F.when(F.col("at") < 0, F.col("earliest"))).alias("itself"),
-        F.min(F.when(F.col("at") >= 0, F.col("earliest"))).alias("shortened"),
+        F.min(F.when(F.col("at") >= 0, F.struct("earliest", "at"))).alias("shortened"),
     )
     same_place = variants.join(by_place.where("n > 1 AND at >= 0").drop("n"), ["key", "at"])
-    partners = same_place.select("line", F.col("earliest").alias("partner"))
+    partners = same_place.select("line", F.col("earliest").alias("partner"), "at")
     met = variants.join(by_key.where("itself IS NOT NULL AND shortened IS NOT NULL"), "key")
-    partners = partners.unionByName(met.select("line", F.when(F.col("at") < 0, F.col("shortened")).otherwise(F.col("itself")).alias("partner")))
-    partners = partners.where(F.col("partner")["first"] < F.col("line")["first"]).distinct()
-    texts = found.select("h1", "h2", "line")
+    is_key = F.col("at") < 0
+    partners = partners.unionByName(met.select(
+        "line", F.when(is_key, F.col("shortened.earliest")).otherwise(F.col("itself")).alias("partner"), F.when(is_key, F.col("shortened.at")).otherwise(F.col("at")).alias("at")
+    ))
+    partners = partners.where(F.col("partner")["first"] < F.col("line")["first"]).groupBy("line", "partner").agg(F.min("at").alias("at"))
+    texts = found.select("h1", "h2", "line", "size")
     pairs = partners.select(
-        *(F.col("line")[c].alias(c) for c in ("h1", "h2", "first")), F.col("partner.h1").alias("p1"), F.col("partner.h2").alias("p2")
+        *(F.col("line")[c].alias(c) for c in ("h1", "h2", "first")), F.col("partner.h1").alias("p1"), F.col("partner.h2").alias("p2"), "at"
     )
-    pairs = pairs.join(texts, ["h1", "h2"]).join(texts.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("line").alias("other")), ["p1", "p2"])
-    return pairs.where(F.levenshtein("line", "other", 1) >= 0).select("h1", "h2", "first").distinct()
+    others = texts.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("line").alias("other"), F.col("size").alias("other_size"))
+    pairs = pairs.join(texts, ["h1", "h2"]).join(others, ["p1", "p2"])
+
+    def without(text: str) -> Column:
+        return F.concat(F.substring(text, F.lit(1), F.col("at")), F.substring(text, F.col("at") + 2, F.length(text)))
+
+    # equal without the character at the place, or the longer one is the other without it
+    grown = F.col("size") - F.col("other_size")
+    verified = F.when(grown == 0, without("line") == without("other")).when(grown == 1, without("line") == F.col("other"))
+    verified = verified.when(grown == -1, F.col("line") == without("other")).otherwise(F.lit(False))
+    return pairs.where(verified).select("h1", "h2", "first").distinct()
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
