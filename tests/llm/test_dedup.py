@@ -1,6 +1,9 @@
 """Line and near deduplication and decontamination against brute force."""
 
+import pickle
 import random
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -210,3 +213,95 @@ def test_query_reads_whole_tables(spark):
     out = line_dedup.op10(spark, "/root/testdata/sf0.001")
     assert out.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
     assert out.where(F.col("n_removed") != F.size("removed")).count() == 0
+
+
+def brute_held(items, texts):
+    """(text number, item number) by lists of words and all pairs of windows."""
+    tool = decontamination._Templates()
+
+    def words(text):
+        out, starts = [], True
+        for raw in re.findall(r"\n|[^ \t\n\v\f\r]+", text):
+            form, small = ("", "") if raw == "\n" else tool.kind(raw)
+            if form:
+                out.append((form, small, starts, raw))
+                starts = False
+            starts = starts or raw == "\n" or raw.rstrip("\"')]»”’")[-1:] in (*".!?:;",)
+        return out
+
+    held = set()
+    for i, item in enumerate(items):
+        own = words(item)
+        fixed = ("<number>", "<unit>")
+        windows = [p for p in range(len(own) - 4) if sum(f == s not in fixed or (st and s not in fixed) for f, s, st, _ in own[p : p + 5]) >= 2]
+        names = {p: tuple(s if st else f for f, s, st, _ in own[p : p + 5]) for p in windows}
+        for t, text in enumerate(texts):
+            other = words(text)
+
+            def meets(p, q):
+                return all(g == f or (st and s not in fixed and g in (s, "<name>")) for (f, s, st, _), (g, *_) in zip(own[p : p + 5], other[q : q + 5], strict=True))
+
+            found = [(p, q) for p in windows for q in range(len(other) - 4) if meets(p, q)]
+            if not found:
+                continue
+            size, by_diagonal = len(set(names.values())), {}
+            for p, q in found:
+                by_diagonal.setdefault(q - p, set()).add(names[p])
+            main = max(by_diagonal, key=lambda d: (len(by_diagonal[d]), -d))
+            aligned = len(set().union(*(by_diagonal.get(main + k, set()) for k in range(-5, 6))))
+            if len({names[p] for p, _ in found}) < 0.8 * size and aligned < max(4, min(9, (size + 1) // 2)):
+                continue
+            counts = Counter(q - p for p, q in found)
+            best = {d for d in counts if counts[d] == max(counts.values())}
+            verdicts = set()
+            for d in best:
+                place = {}
+                for p, q in sorted(found, key=lambda x: (abs(x[1] - x[0] - d), x[1], x[0])):
+                    for k in range(5):
+                        f, s, st, raw = own[p + k]
+                        if f != s or s in fixed:
+                            place.setdefault(p + k, q + k)
+                values = {}
+                for p, q in place.items():
+                    values.setdefault(decontamination._value(own[p][3]), Counter())[decontamination._value(other[q][3])] += 1
+                verdicts.add(not place or sum(c.most_common(1)[0][1] for c in values.values()) >= 0.8 * len(place))
+            if verdicts == {True}:
+                held.add((t, i))
+    return held
+
+
+def test_held_items_against_brute_force():
+    rng = random.Random(3)
+    plain = [f"w{k}" for k in range(9)]
+
+    def text(n):
+        return " ".join(rng.choice([*plain, *plain, "Tom", "Anna", "5", "7", "km", "end.", "w1.", "What", "-"]) for _ in range(n))
+
+    items = [text(rng.randint(3, 30)) for _ in range(30)]
+
+    def copy(item):
+        new = {"Tom": rng.choice(["Tom", "Maria"]), "5": rng.choice(["5", "12"]), "w3": rng.choice(["w3", "w3", "other"])}
+        return " ".join(new.get(w, w) for w in item.split())
+
+    texts = [f"{text(20)} {copy(rng.choice(items))}\n{text(10)}" for _ in range(80)] + ["", "\n", "Tom"]
+    found = decontamination.Index(list(enumerate(items))).search(decontamination._Templates(), texts)
+    got = {(t, hit[0]) for t, hits in enumerate(found) for hit in hits}
+    assert got == brute_held(items, texts) and len(got) > 30
+
+
+def test_names_that_open_a_sentence(spark):
+    bench = spark.createDataFrame([(1, "Tom has 5 apples. Anna has 7 pears. Who has more fruit?"), (2, "Maria has 5 apples and buys 7 more apples. Peter eats 2. How many are left?")], "item_id long, text string")
+    rows = [(1, "See.\nMaria has 9 apples. Peter has 3 pears. Who has more fruit? Yes."), (2, "it says: John has 6 apples and buys 8 more apples. Mary eats 3. How many are left?"),
+            (3, "tom has 5 apples. anna has 7 pears. who has more fruit?"), (4, "Who has more fruit? Nobody has 5 apples here, and no more is known of it."), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.same_values) for r in decontamination.find(docs, bench).collect()} == {(1, 1, False), (2, 2, False), (3, 1, True)}
+    # what is broadcast is plain, so that executors need no copy of the package
+    assert b"tidemark" not in pickle.dumps(vars(decontamination.Index([(1, "Tom has 5 apples. Anna has 7 pears.")])))
+
+
+def test_very_long_lines(spark):
+    line = "".join(random.Random(2).choices("abcdé 😀", k=30_000))
+    k = 2048 * 3
+    rows = [(1, line), (2, line[:k] + "x" + line[k + 1 :]), (3, line[:k] + line[k + 1 :]), (4, line[:k] + "xyz" + line[k:]), (5, line[:-1])]
+    gone = line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in gone.collect()) == [2, 3, 5]

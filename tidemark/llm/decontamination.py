@@ -1,10 +1,11 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words become template words: punctuation around them goes, letters become small, and
-numbers, units and names become typed placeholders. A name is a capitalised word
-that does not start a sentence or line. All windows of five template words
-(with at least two literal ones) of the benchmark are hashed and joined with
-those of each text. A document holds an item if at least ``SHARE`` of the item's
+numbers, units and names become typed placeholders. A name is a capitalised word. Whether the
+word that opens a sentence or line is a name cannot be told from its form, so in the
+benchmark it has both forms, and its windows have a hash for each choice. All windows of five
+template words (with at least two literal or opening ones) of the benchmark are hashed and
+joined with those of each text. A document holds an item if at least ``SHARE`` of the item's
 distinct windows are found in it, or a part of the item is: ``ALIGNED`` windows (13 words,
 where they are in one run) or half of a shorter item's, ``LEAST`` of them at least, with the same
 offset give or take a window. So an item with changed words or cut lines is held too.
@@ -24,6 +25,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -53,9 +55,9 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Templates:
-    """Raw words to template words: hash within a sentence, hash at its start, and flags.
+    """Raw words to template words: hash, hash of the literal form, and flags.
 
-    Flags: 1 ends a sentence, 2 is no word, 4 literal within, 8 literal at the start.
+    Flags: 1 ends a sentence, 2 is no word, 4 literal, 8 literal or a name.
     """
 
     def __init__(self) -> None:
@@ -65,19 +67,17 @@ class _Templates:
         self.number: dict[str, int] = {}
         self.rows: list[tuple[int, int, int]] = []
 
-    def kind(self, word: str, starts: bool) -> tuple[str, bool]:
-        """The template word and whether it is literal."""
+    def kind(self, word: str) -> tuple[str, str]:
+        """The template word and its literal form, the same for a literal word and for a number or unit."""
         core = word.strip(".,;:!?\"'()[]{}«»„“”‘’…*_|<>#&~`")
         if not core or not any(c.isalnum() or c == "%" for c in core):
-            return "", False
+            return "", ""
         small = core.lower()
         if _NUMBER.match(core) or small in NUMBER_WORDS:
-            return "<number>", False
+            return "<number>", "<number>"
         if small in UNITS:
-            return "<unit>", False
-        if not starts and core[0].isupper() and core[1:].islower():
-            return "<name>", False
-        return small, True
+            return "<unit>", "<unit>"
+        return ("<name>" if core[0].isupper() and core[1:].islower() else small), small
 
     def add(self, word: str) -> int:
         import xxhash
@@ -85,15 +85,17 @@ class _Templates:
         if word == "\n":
             row = 0, 0, 3
         else:
-            (inner, a), (first, b) = self.kind(word, False), self.kind(word, True)
-            flags = (word.rstrip("\"')]»”’")[-1:] in ".!?:;" and word != "") + 2 * (not inner) + 4 * a + 8 * b
-            row = xxhash.xxh3_64_intdigest(inner), xxhash.xxh3_64_intdigest(first), flags
+            form, small = self.kind(word)
+            fixed = small in ("<number>", "<unit>")
+            ends = word.rstrip("\"')]»”’")[-1:] in ".!?:;" and word != ""
+            flags = ends + 2 * (not form) + 4 * (not fixed and form == small) + 8 * (not fixed)
+            row = xxhash.xxh3_64_intdigest(form), xxhash.xxh3_64_intdigest(small), flags
         self.rows.append(row)
         self.number[word] = len(self.rows) - 1
         return len(self.rows) - 1
 
     def read(self, texts: list[str]):
-        """Of the template words of all texts: text number, word, hash, literal, and window hashes."""
+        """Of the template words of all texts: text number, word, hash, literal form's hash, flags, start of a sentence; and the words."""
         if len(self.rows) > REMEMBERED:
             self.clear()
         words, texts_of, ids = [], [], []
@@ -106,31 +108,26 @@ class _Templates:
         for w in words:
             at = get(w)
             ids.append(add(w) if at is None else at)
-        if not ids:
-            return [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64), np.zeros(0, bool), words]
-        table = np.array(self.rows, dtype=[("inner", "u8"), ("first", "u8"), ("flags", "u1")])
+        table = np.array(self.rows, dtype=[("form", "u8"), ("small", "u8"), ("flags", "u1")])
         rows = table[np.array(ids, np.int64)]
         flags = rows["flags"]
-        starts = np.concatenate([[True], (flags[:-1] & 1) > 0])
-        # a mark that is no word passes on the start of a sentence
-        for i in np.flatnonzero(((flags & 3) == 2) & starts):
-            if i + 1 < len(starts):
-                starts[i + 1] = True
-        is_word = (flags & 2) == 0
-        hashes = np.where(starts, rows["first"], rows["inner"])[is_word]
-        literal = (np.where(starts, flags & 8, flags & 4) > 0)[is_word]
-        owner = np.concatenate(texts_of)[is_word]
-        at = np.flatnonzero(is_word)
-        windows, valid = np.zeros(0, np.uint64), np.zeros(0, bool)
-        if len(hashes) >= WINDOW:
-            n = len(hashes) - WINDOW + 1
-            windows, literals = np.zeros(n, np.uint64), np.zeros(n, np.int64)
-            with np.errstate(over="ignore"):
-                for k in range(WINDOW):
-                    windows = (windows ^ (windows >> np.uint64(29))) * _P + hashes[k : k + n]
-                    literals += literal[k : k + n]
-            valid = (owner[:n] == owner[WINDOW - 1 :]) & (literals >= MIN_LITERAL)
-        return owner, at, hashes, literal, windows, valid, words
+        at = np.flatnonzero((flags & 2) == 0)
+        # a mark that is no word passes on the start of a sentence: a word opens one if any mark since the word before it ends one
+        ended = np.concatenate([[0], np.cumsum(flags & 1)])
+        starts = np.ones(len(at), bool)
+        starts[1:] = ended[at[1:]] > ended[at[:-1]]
+        owner = np.concatenate(texts_of)[at] if texts else np.zeros(0, np.int64)
+        return owner, at, rows["form"][at], rows["small"][at], flags[at], starts, words
+
+
+def _windows(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of all windows."""
+    n = max(len(hashes) - WINDOW + 1, 0)
+    windows = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(WINDOW):
+            windows = (windows ^ (windows >> np.uint64(29))) * _P + hashes[k : k + n]
+    return windows
 
 
 def _value(word: str) -> str:
@@ -141,36 +138,53 @@ class Index:
     """Windows of some benchmark items."""
 
     def __init__(self, items: list[tuple[object, str]]):
+        import xxhash
+
         self.ids = [i for i, _ in items]
-        owner, at, _, literal, windows, valid, words = _Templates().read([t for _, t in items])
+        owner, at, forms, small, flags, starts, words = _Templates().read([t for _, t in items])
         first = np.searchsorted(owner, np.arange(len(items)))
-        self.slots = [(~literal[a:b]) for a, b in zip(first, [*first[1:], len(owner)], strict=True)]
+        literal = ((flags & 4) > 0) | (starts & ((flags & 8) > 0))
+        # a capitalised opening word is a slot too: it may be a name
+        slot = ((flags & 4) == 0) & ~((flags & 8 > 0) & starts & (forms == small))
+        self.slots = [slot[a:b] for a, b in zip(first, [*first[1:], len(owner)], strict=True)]
         self.values = [[_value(words[k]) for k in at[a:b]] for a, b in zip(first, [*first[1:], len(owner)], strict=True)]
-        self.where: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # item, its word, window
+        self.where: dict[int, list[tuple[int, int, int]]] = {}  # item, its word, window
         distinct: list[set[int]] = [set() for _ in items]
+        own = _windows(np.where(starts, small, forms))
+        name = np.uint64(xxhash.xxh3_64_intdigest("<name>"))
+        n = len(own)
+        twofold = starts & ((flags & 8) > 0)
+        literals, choosing = (np.concatenate([[0], np.cumsum(x)]) for x in (literal, twofold))
+        valid = (literals[WINDOW:] - literals[:-WINDOW] >= MIN_LITERAL) & (owner[:n] == owner[WINDOW - 1 :]) if n else np.zeros(0, bool)
         for p in np.flatnonzero(valid):
-            i, h = int(owner[p]), int(windows[p])
-            self.where[h].append((i, int(p - first[i]), h))
+            i, h, span = int(owner[p]), int(own[p]), slice(p, p + WINDOW)
             distinct[i].add(h)
+            # an opening word that is neither number nor unit has both forms
+            kinds = {h}
+            if choosing[p + WINDOW] > choosing[p]:
+                choices = product(*((x, name) if two else (y,) for x, y, two in zip(small[span], forms[span], twofold[span], strict=True)))
+                kinds = {int(_windows(np.array(c, np.uint64))[0]) for c in choices}
+            for form in kinds:
+                self.where.setdefault(form, []).append((i, int(p - first[i]), h))
         self.sizes = [len(x) for x in distinct]
-        # in a document the first word may stand within a sentence, and then be a name
-        owner, _, _, _, inner, valid, _ = _Templates().read(["x " + t for _, t in items])
-        begin = np.searchsorted(owner, np.arange(len(items)))
-        for i, p in enumerate(begin + 1):
-            if p < len(valid) and owner[p] == i and valid[p] and distinct[i]:
-                own, h = int(windows[first[i]]), int(inner[p])
-                if own in distinct[i] and h != own:
-                    self.where[h].append((i, 0, own))
         self.hashes = np.sort(np.fromiter(self.where, np.uint64, len(self.where)))
 
+    @classmethod
+    def of(cls, state: dict) -> Index:
+        """The index with these attributes, all plain values, which need no package to be read."""
+        index = cls.__new__(cls)
+        index.__dict__.update(state)
+        return index
+
     def search(self, tool: _Templates, texts: list[str]) -> list[list[tuple[int, float, int, float, bool]]]:
         """For each text: (item, share of its windows, slots, consistent share, equal values) of each item that it holds."""
         found: list[list] = [[] for _ in texts]
-        owner, at, _, _, windows, valid, words = tool.read(texts)
+        owner, at, forms, _, _, _, words = tool.read(texts)
+        windows = _windows(forms)
         if not len(windows) or not len(self.hashes):
             return found
         place = np.minimum(np.searchsorted(self.hashes, windows), len(self.hashes) - 1)
-        hits = np.flatnonzero((self.hashes[place] == windows) & valid)
+        hits = np.flatnonzero((self.hashes[place] == windows) & (owner[: len(windows)] == owner[WINDOW - 1 :]))
         bounds = np.searchsorted(owner[hits], np.arange(len(texts) + 1))
         for t in np.flatnonzero(np.diff(bounds)):
             matched: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
@@ -258,10 +272,10 @@ def find(documents: DataFrame, benchmark: DataFrame, *, text: str = "text") -> D
     ids = pa.int64() if schema["item_id"].dataType != StringType() else pa.string()
 
     def searched(index: Index) -> DataFrame:
-        shared = documents.sparkSession.sparkContext.broadcast(index)
+        shared = documents.sparkSession.sparkContext.broadcast(vars(index))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tool, items = _Templates(), shared.value
+            tool, items = _Templates(), Index.of(shared.value)
             for batch in batches:
                 for part, texts in _parts(batch, text):
                     found = [(i, *hit) for i, hits in enumerate(items.search(tool, texts)) for hit in hits]
@@ -279,17 +293,20 @@ def find(documents: DataFrame, benchmark: DataFrame, *, text: str = "text") -> D
 
 def clean(documents: DataFrame, benchmark: DataFrame, *, text: str = "text") -> DataFrame:
     """The rows of documents that hold no benchmark item, as they are; see find()."""
-    columns = documents.columns
-    for index in _blocks(benchmark):
-        shared = documents.sparkSession.sparkContext.broadcast(index)
+    columns, schema = documents.columns, documents.schema
+    scratch = common.Scratch(documents.sparkSession, "clean")
+    for block, index in enumerate(_blocks(benchmark)):
+        if block:  # written, so that no task holds two blocks
+            documents = scratch.write(documents, f"block{block}")
+        shared = documents.sparkSession.sparkContext.broadcast(vars(index))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            tool, items = _Templates(), shared.value
+            tool, items = _Templates(), Index.of(shared.value)
             for batch in batches:
                 for part, texts in _parts(batch, text):
                     yield part.filter(pa.array([not hits for hits in items.search(tool, texts)], pa.bool_()))
 
-        documents = documents.select(*columns).mapInArrow(run, documents.schema)
+        documents = documents.select(*columns).mapInArrow(run, schema)
     return documents
 
 
