@@ -183,7 +183,7 @@ def issue_report(found: DataFrame, *, rows: int = 20, instruments: int = 20) ->
 def standing_warnings(bars: DataFrame, config: Config, calendars: Mapping[str, Calendar] = CALENDARS) -> list[tuple[str, str]]:
     """Codes that concern the whole table: what could not be verified."""
     out = [] if config.stale_after is not None and config.as_of is not None else [("staleness_not_evaluated", WARNING)]
-    exchanges = {r[0] for r in bars.select("exchange").distinct().limit(1000).collect()}
+    exchanges = {r[0] for r in bars.where(F.col("exchange").isin(*calendars)).select("exchange").distinct().collect()}
     if any(e in calendars and not calendars[e].authoritative for e in exchanges):
         out.append(("calendar_holidays_unverified", ERROR if config.require_verified_holidays else WARNING))
     if config.adjustment != "raw":
