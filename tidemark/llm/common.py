@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +46,40 @@ def broadcast_if_small(frame: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= limit else frame
 
 
+def compiled(key: object, make: Callable[[], object]) -> object:
+    """What make() returns; a process keeps that of the last key for its later tasks."""
+    if getattr(sys, "_tidemark_compiled", (None,))[0] != key:
+        sys._tidemark_compiled = None, None  # freed before the next one is made
+        sys._tidemark_compiled = key, make()
+    return sys._tidemark_compiled[1]
+
+
+def give_back() -> None:
+    """Return memory that is free to the system; allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not glibc
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapper that frees what another stage has left in its process, and its own memory at the end of a task.
+
+    Spark's Python processes outlive a stage and stand idle beside the next ones.
+    """
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys._tidemark_compiled = None, None
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return lean_run
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors.
 

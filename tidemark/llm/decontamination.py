@@ -285,7 +285,7 @@ def find(documents: DataFrame, benchmark: DataFrame, *, text: str = "text") -> D
                         made = [pa.array([items.ids[k] for k in which], ids), *map(pa.array, measures, kinds)]
                         yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(rows)) for c in out), *made], names=[*out, *names])
 
-        return documents.select(*out, text).mapInArrow(run, schema)
+        return documents.select(*out, text).mapInArrow(common.lean(run), schema)
 
     found = [searched(index) for index in _blocks(benchmark)]
     return reduce(DataFrame.unionByName, found) if found else documents.sparkSession.createDataFrame([], schema)
@@ -306,7 +306,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, *, text: str = "text") ->
                 for part, texts in _parts(batch, text):
                     yield part.filter(pa.array([not hits for hits in items.search(tool, texts)], pa.bool_()))
 
-        documents = documents.select(*columns).mapInArrow(run, schema)
+        documents = documents.select(*columns).mapInArrow(common.lean(run), schema)
     return documents
 
 

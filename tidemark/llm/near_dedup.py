@@ -248,7 +248,7 @@ class _Join:
         """Components (id, root) with the links among pairs, each confirmed on the sets."""
         first, second = (sets.select(F.col("cls").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
         rows = self.apart(pairs, found).join(first, "a").join(second, "b")
-        return self.extended(rows.mapInArrow(partial(_confirm, percent=self.settings.percent), "a bigint, b bigint"), found, label)
+        return self.extended(rows.mapInArrow(common.lean(partial(_confirm, percent=self.settings.percent)), "a bigint, b bigint"), found, label)
 
     def extended(self, links: DataFrame, found: DataFrame | None, label: str) -> DataFrame:
         links = self.scratch.write(links, f"{label}-links")
@@ -296,7 +296,7 @@ class _Join:
     def run(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Signed documents, classes (set_id, cls, first doc_id), and components of classes (id, root)."""
         _, n_trees, depth, branches, rounds, _ = self.settings
-        signed = self.scratch.write(self.documents.mapInArrow(partial(_sign, functions=n_trees * depth), _SIGNED), "signed")
+        signed = self.scratch.write(self.documents.mapInArrow(common.lean(partial(_sign, functions=n_trees * depth)), _SIGNED), "signed")
         usable = signed.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
         classes = usable.groupBy("set_id").agg(
             F.min(F.struct("doc_id", "text_key")).alias("first"), F.any_value("n_shingles").alias("n"), F.any_value("tokens").alias("tokens"), F.any_value("sketch").alias("sketch")
@@ -311,7 +311,7 @@ class _Join:
 
         ids = [x.select(F.col(c).alias("cls")) for x in (stars, pairs) for c in ("a", "b")]
         needed = reduce(DataFrame.unionByName, [*ids, crowded.select("cls")]).distinct().join(classes.select("cls", "first.*"), "cls")
-        sets = self.documents.join(needed, ["doc_id", "text_key"]).select("cls", "text").mapInArrow(_sets, "cls bigint, set binary")
+        sets = self.documents.join(needed, ["doc_id", "text_key"]).select("cls", "text").mapInArrow(common.lean(_sets), "cls bigint, set binary")
         sets = self.scratch.write(sets.dropDuplicates(["cls"]), "sets")  # rows may repeat
 
         found = self.link(stars, None, sets, "trees-stars")
@@ -322,7 +322,7 @@ class _Join:
         for k in range(1, rounds + 1):
             if crowded.isEmpty():
                 break
-            drawn = partial(_drawn, functions=n_trees * branches * depth, draw=k)
+            drawn = common.lean(partial(_drawn, functions=n_trees * branches * depth, draw=k))
             tokens = sets.join(crowded.select("cls").distinct(), "cls").mapInArrow(drawn, "cls bigint, tokens array<int>")
             rows = crowded.select("node", "cls", "tree").join(tokens, "cls")
             rows = rows.select("node", "cls", "tree", F.explode(_paths(1, self.settings, branches, F.col("tree") * branches)).alias("b"))

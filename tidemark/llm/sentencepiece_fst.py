@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 from array import array
 from collections.abc import Iterator
 
@@ -243,10 +242,8 @@ class Transducer:
 
 
 def compile_model(content: bytes) -> Transducer:
-    """The transducer of a model; a process keeps the last one with what it remembers."""
-    if getattr(sys, "_tidemark_transducer", (None,))[0] != content:
-        sys._tidemark_transducer = content, Transducer(read_model(content))
-    return sys._tidemark_transducer[1]
+    """The transducer of a model; a process keeps the last one with what it remembers, until another stage runs in it."""
+    return common.compiled(("transducer", content), lambda: Transducer(read_model(content)))
 
 
 def _read(documents: DataFrame, model_path: str):
