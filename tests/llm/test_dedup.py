@@ -115,6 +115,48 @@ def test_large_leaves_are_compared_in_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_rows_of_a_crowd_grow_with_its_size(spark, monkeypatch):
+    """1,000 texts share a passage, similar by sketches and unlinked: a class takes no row for each 128 others."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(88))
+    texts = [(d, " ".join([passage, *(f"w{rng.randrange(10**6)}" for _ in range(8))])) for d in range(1000)]
+    counts, write = {}, near_dedup.Scratch.write
+
+    def counted(self, frame, name):
+        out = write(self, frame, name)
+        counts[name] = out.agg(F.sum("a")).first()[0] if name == "blocks-links" else out.count()
+        return out
+
+    def size(group, settings):  # a link of a number with itself is none
+        import pyarrow
+
+        return pyarrow.table({"a": [group.num_rows], "b": [group.num_rows]})
+
+    monkeypatch.setattr(near_dedup.Scratch, "write", counted)
+    monkeypatch.setattr(near_dedup, "_compare_blocks", size)
+    near_dedup.near_groups(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert counts["trees-mixed"] > 1000
+    assert 0 < counts["blocks-links"] <= 2 * counts["trees-mixed"]
+
+
+def test_pairs_of_several_crowded_nodes_are_compared_once():
+    classes = [f"s{i}" for i in range(6)]
+    common_part = list(range(100))
+    sets = [near_dedup.np.array(sorted([*common_part, 200 + i]), near_dedup.np.uint64).tobytes() for i, _ in enumerate(classes)]
+    shared = [[3, 7], [3, 7], [7], [3, 7], [7], [7, 9]]
+
+    def links(node):
+        members = [i for i, x in enumerate(shared) if node in x]
+        rows = [(i, asks) for i in members for asks in (False, True)]
+        columns = {"node": [node] * len(rows), "cls": [i for i, _ in rows], "root": [i for i, _ in rows], "nodes": [shared[i] for i, _ in rows], "sketch": [[0] * 4] * len(rows),
+                   "asks": [a for _, a in rows], "set": [sets[i] for i, _ in rows]}
+        found = near_dedup._compare_blocks(near_dedup.pa.table(columns), near_dedup.CONTRACT)
+        return {frozenset(x) for x in zip(*(found.column(c).to_pylist() for c in "ab"), strict=True)}
+
+    assert len(links(3)) == 2 and not links(9)
+    assert not any(x <= {0, 1, 3} for x in links(7)) and set().union(*links(7)) >= {2, 4, 5}
+
+
 def test_groups_special_cases(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(1, text, 0), (2, text.upper(), 0), (2, text.upper(), 0), (None, text, 0), (3, None, 0), (4, "", 0), (5, "x " * 100_000, 0), (6, text + " more", 0), (7, "a b", 0), (7, "c d", 0)]

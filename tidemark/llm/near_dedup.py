@@ -21,10 +21,13 @@ group. The classes of larger ones branch: each follows two further paths, by tok
 smaller nodes, which are compared in the same way; and so on for ``rounds`` rounds. Two paths
 keep a similar pair together more than once on average, and let the rows of a crowd that
 only shares a passage stay about as many as they were. A node that is larger even
-then is compared by sketches in blocks of ``WIDE``. The classes that have a partner by
-sketches are compared in blocks by their sets: those outside the main component meet all others. So
-there is no cap on partners, and rows grow with a group's size, unless most of it is
-similar to each other by sketches and yet unlinked at each of these steps.
+then is compared by sketches in blocks of ``WIDE``. A crowd is mostly the same classes in each tree;
+of all crowded nodes that two classes share, only the smallest number compares them. The
+classes that have a partner by sketches are compared by their sets: those outside the main component
+meet all others, in blocks of at most ``WIDE`` classes and ``BLOCK * LONG`` shingles. So
+there is no cap on partners, and a class takes one row for each block of its node: a node of up to
+``WIDE`` ordinary texts is one or a few blocks, and rows grow with a group's size, unless more
+than that are similar to each other by sketches and yet unlinked at each of these steps.
 
 A link takes the similarity of the ``Settings``: 0.85 in op7 (``CONTRACT``), 0.80 in the
 pipeline (``STAGE``). With ten trees of depth 3 a pair of similarity 0.85 shares a node with
@@ -35,13 +38,13 @@ crowded in all trees and rounds, with 0.997. At 0.80 there are twelve trees:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial, reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -49,6 +52,8 @@ from .common import Scratch
 
 SHINGLE, PERCENT = 5, 85
 SMALL, BLOCK, WIDE = 48, 128, 2048
+#: A block has as many shingles as BLOCK texts of so many.
+LONG = 4096
 SALTS = 16
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _BATCH = 1 << 22
@@ -343,11 +348,12 @@ class _Join:
         return signed, classes, found
 
     def _partnered(self, crowded: DataFrame, nodes: DataFrame) -> DataFrame:
-        """The rows of crowded nodes whose sizes and sketches allow a link with another component of the node."""
+        """The rows of crowded nodes whose sizes and sketches allow a link with another component of the node, with the class's nodes."""
+        crowded = self.scratch.write(crowded.select("node", "cls", "root", F.collect_set("node").over(Window.partitionBy("cls")).alias("nodes")), "crowds")
         parts = crowded.groupBy("node").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("parts"))
-        rows = _with_parts(crowded.select("node", "cls", "root"), parts, "node", "cls").join(nodes, "cls")
+        rows = _with_parts(crowded, parts, "node", "cls").join(nodes, "cls")
         own = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
-        rows = rows.select("node", "cls", "root", "n", "sketch", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        rows = rows.select("node", "cls", "root", "nodes", "n", "sketch", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
         rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other")
         settings = self.settings
 
@@ -359,14 +365,17 @@ class _Join:
 
     def _blocks(self, crowded: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
         """Links of the classes outside the main component of each node with all of it, in blocks; of each two blocks a spanning forest."""
-        crowded = self._partnered(crowded, nodes)
-        counts = crowded.groupBy("node", "root").agg(F.count("*").alias("k"))
-        main = counts.groupBy("node").agg(F.sum("k").alias("size"), F.max(F.struct("k", "root")).alias("main"))
-        main = main.select("node", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("main.k")) / BLOCK).cast("int").alias("others"), F.col("main.root").alias("main"))
-        rows = _with_parts(crowded.select("node", "cls", "root"), main, "node", "cls").join(nodes.select("cls", "sketch"), "cls")
+        crowded = self._partnered(crowded, nodes).join(nodes, "cls")
+        # in shares of a block, by number and by size of sets
+        share = F.greatest(F.lit(1 / WIDE), F.col("n") / (BLOCK * LONG))
+        counts = crowded.groupBy("node", "root").agg(F.count("*").alias("k"), F.sum(share).alias("share"))
+        main = counts.groupBy("node").agg(F.sum("share").alias("share"), F.max(F.struct("k", "root", "share")).alias("main"))
+        blocks_of = lambda x: F.greatest(F.lit(1), F.ceil(x - 1e-9)).cast("int")
+        main = main.select("node", blocks_of(F.col("share")).alias("blocks"), blocks_of(F.col("share") - F.col("main.share")).alias("others"), F.col("main.root").alias("main"))
+        rows = _with_parts(crowded, main, "node", "cls")
         slot = lambda of: F.pmod(F.xxhash64("cls"), F.col(of)).cast("int")
         all_of = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
-        columns = ["node", "cls", "root", "sketch"]
+        columns = ["node", "cls", "root", "nodes", "sketch"]
         own = rows.select(*columns, F.lit(False).alias("asks"), slot("blocks").alias("i"), F.explode(all_of("others")).alias("j"))
         asking = rows.where("root <> main").select(*columns, F.lit(True).alias("asks"), slot("others").alias("j"), F.explode(all_of("blocks")).alias("i"))
         settings = self.settings
@@ -377,13 +386,26 @@ class _Join:
         return own.unionByName(asking).join(sets, "cls").groupBy("node", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
+def _compared_elsewhere(group: pa.Table) -> Callable[[int], np.ndarray]:
+    """For a row of a node, which rows share a node of a smaller number with it."""
+    nodes = [np.array(x, np.int64) for x in group.column("nodes").to_pylist()]
+    numbers = np.concatenate(nodes)
+    owners = np.repeat(np.arange(len(nodes)), [len(x) for x in nodes])
+    smaller = numbers < group.column("node")[0].as_py()
+    found, which = np.unique(numbers[smaller], return_inverse=True)
+    has = np.zeros((len(nodes), len(found)), bool)
+    has[owners[smaller], which] = True
+    return lambda p: has[:, has[p]].any(axis=1)
+
+
 def _with_partner(group: pa.Table, settings: Settings) -> pa.Table:
+    elsewhere = _compared_elsewhere(group)
     roots, sizes = (group.column(c).to_numpy() for c in ("root", "n"))
     sketches = np.array(group.column("sketch").to_pylist(), np.int64)
     partner = np.zeros(len(roots), bool)
     for p in range(len(roots)):
         differ = np.bitwise_count(sketches[p + 1 :] ^ sketches[p]).sum(axis=1)
-        fits = (differ <= settings.sketch_bits) & (roots[p + 1 :] != roots[p])
+        fits = (differ <= settings.sketch_bits) & (roots[p + 1 :] != roots[p]) & ~elsewhere(p)[p + 1 :]
         fits &= 100 * np.minimum(sizes[p + 1 :], sizes[p]) >= settings.percent * np.maximum(sizes[p + 1 :], sizes[p])
         partner[p + 1 :] |= fits
         partner[p] |= fits.any()
@@ -391,27 +413,29 @@ def _with_partner(group: pa.Table, settings: Settings) -> pa.Table:
 
 
 def _compare_blocks(group: pa.Table, settings: Settings) -> pa.Table:
-    ids, roots = (group.column(c).to_pylist() for c in ("cls", "root"))
+    elsewhere, ids = _compared_elsewhere(group), group.column("cls").to_pylist()
     asks = np.array(group.column("asks").to_pylist(), bool)
-    sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("set")]
     sketches = np.array(group.column("sketch").to_pylist(), np.int64)
     sizes = np.array([len(x) for x in sets])
-    above = {r: r for r in roots}
-
-    def root(x: int) -> int:
-        while above[x] != x:
-            above[x] = x = above[above[x]]
-        return x
+    # shingles as numbers, so that a set is marked once and met by many
+    numbers = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32), np.cumsum(sizes)[:-1])
+    marked = np.zeros(max(int(x.max()) for x in numbers) + 1, bool)
+    roots = np.unique(group.column("root").to_numpy(), return_inverse=True)[1]
 
     links = []
     for p in np.flatnonzero(asks):
         differ = np.bitwise_count(sketches ^ sketches[p]).sum(axis=1)
         fits = (differ <= settings.sketch_bits) & (100 * np.minimum(sizes, sizes[p]) >= settings.percent * np.maximum(sizes, sizes[p]))
-        for q in np.flatnonzero(fits & ~asks):
-            x, y = root(roots[p]), root(roots[q])
-            if x != y and similar(sets[p], sets[q], settings.percent):
-                above[x] = y
-                links.append((ids[p], ids[q]))
+        fits &= ~asks & (roots != roots[p]) & ~elsewhere(p)
+        marked[numbers[p]] = True
+        for q in np.flatnonzero(fits):
+            if roots[q] != roots[p]:
+                both = np.count_nonzero(marked[numbers[q]])
+                if 100 * both >= settings.percent * (sizes[p] + sizes[q] - both):
+                    roots[roots == roots[q]] = roots[p]
+                    links.append((ids[p], ids[q]))
+        marked[numbers[p]] = False
     a, b = zip(*links, strict=True) if links else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
