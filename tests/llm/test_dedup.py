@@ -347,3 +347,20 @@ def test_very_long_lines(spark):
     rows = [(1, line), (2, line[:k] + "x" + line[k + 1 :]), (3, line[:k] + line[k + 1 :]), (4, line[:k] + "xyz" + line[k:]), (5, line[:-1])]
     gone = line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in gone.collect()) == [2, 3, 5]
+
+
+def test_lines_are_split_and_keyed_once(spark, monkeypatch):
+    """Keys of deletions are made once, and a text is split once, not for each line that it keeps."""
+    plans, write = {}, line_dedup.Scratch.write
+
+    def seen(self, frame, name):
+        plans[name] = frame._jdf.queryExecution().optimizedPlan().toString()
+        return write(self, frame, name)
+
+    monkeypatch.setattr(line_dedup.Scratch, "write", seen)
+    rows = [(d, "\n".join(f"line {(d * k) % 7} of a text that has several lines" for k in range(9))) for d in range(20)]
+    out = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(plan.count("regexp_extract_all") for plan in plans.values()) == 1
+    assert "lambdafunction(split(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    gone = brute_lines(rows)
+    assert {r.doc_id: r.text for r in out.collect()} == {d: "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in gone) for d, t in rows}

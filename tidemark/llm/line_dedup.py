@@ -110,7 +110,7 @@ def _xor(values: Column) -> Column:
 
 
 def _variants(found: DataFrame) -> DataFrame:
-    """(key, at, h1, h2): the key of each line (at -1) and of the line without character `at`.
+    """(key, at, number): the key of each line (at -1) and of the line without character `at`.
 
     With a(k) the hash of character k at its place and b(k) that at the place before,
     the line without character i has the key XOR of a(k) for k < i and of b(k) for k > i. That is
@@ -148,7 +148,7 @@ def _variants(found: DataFrame) -> DataFrame:
         return _let(total, placed)
 
     parts = F.transform(F.regexp_extract_all("line", F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)), part)
-    rows = found.select("h1", "h2", begin.alias("begin"), end.alias("end"), F.explode(_let(parts, sums_of)).alias("p"))
+    rows = found.select("number", begin.alias("begin"), end.alias("end"), F.explode(_let(parts, sums_of)).alias("p"))
 
     def running(both: Column, before: Column) -> Column:
         """For each character the XOR of before with `both` of all earlier characters of the part."""
@@ -171,7 +171,7 @@ def _variants(found: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<key:bigint,at:int>>")
     without = F.when(high >= low, F.slice(keys, low + 1, high - low + 1)).otherwise(none)
     whole = F.when(p["own"].isNull(), none).otherwise(F.array(F.struct(p["own"].alias("key"), F.lit(-1).alias("at"))))
-    return rows.select("h1", "h2", F.explode(F.concat(whole, without)).alias("v")).select("v.key", "v.at", "h1", "h2")
+    return rows.select("number", F.explode(F.concat(whole, without)).alias("v")).select("v.key", "v.at", "number")
 
 
 def _near(documents: DataFrame, candidates: DataFrame, scratch: Scratch) -> DataFrame:
@@ -179,12 +179,13 @@ def _near(documents: DataFrame, candidates: DataFrame, scratch: Scratch) -> Data
     wanted = common.broadcast_if_small(candidates, BROADCAST_LINES)
     rows = _lines(documents).select(*_PLACE, "line", "size", *_hashes(F.col("line"))).join(wanted, ["h1", "h2"])
     found = rows.groupBy("h1", "h2", "size", "same_first", "same_last").agg(F.min(F.struct(*_PLACE)).alias("first"), F.any_value("line").alias("line"))
-    found = scratch.write(found, "candidate_lines")
+    found = scratch.write(found.withColumn("number", F.monotonically_increasing_id()), "candidate_lines")
 
-    variants = _variants(found)
-    shared = variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    lines = found.select("h1", "h2", F.struct("first", "h1", "h2").alias("line"))
-    variants = scratch.write(variants.join(shared, "key").join(lines, ["h1", "h2"]).select("key", "at", "line"), "variants")
+    emitted = scratch.write(_variants(found), "emitted")  # once: making keys costs more than reading them
+    shared = emitted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    lines = found.select("number", F.struct("first", "h1", "h2").alias("line"))
+    variants = scratch.write(emitted.join(shared, "key").join(lines, "number").select("key", "at", "line"), "variants")
+    scratch.drop("emitted")
 
     # of each key: the earliest line for each deleted place, the line that is the key, the earliest of all shorter by one
     by_place = variants.groupBy("key", "at").agg(F.min("line").alias("earliest"), F.count("*").alias("n"))
@@ -231,7 +232,8 @@ def deduplicate(documents: DataFrame) -> DataFrame:
         gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_digest")), "left"
     )
     cut = F.split("text", "\n", -1)
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("_removed")), lambda i: cut[i]), "\n")
+    # cut once: within a lambda function an expression is computed again for each element
+    kept = _let(cut, lambda parts: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_removed")), lambda i: parts[i]), "\n"))
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept)
     removed = F.coalesce(F.col("_removed"), F.array().cast("array<int>"))
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(cut)).cast("long")
